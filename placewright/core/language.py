@@ -24,7 +24,7 @@ def quadgrams(word: str) -> list[str]:
 
 def features(text: str, dictionary: lx.Dictionary | None = None) -> dict[str, float]:
     """Feature counts for the classifier: script, phrases, affixes, quadgrams, ideographs."""
-    d = dictionary or lx.default_dictionary()
+    d = (dictionary or lx.default_dictionary()).merged
     found: Counter[str] = Counter()
     text = normalize_string(text or "", 0b11100) or ""
     for script, span, _ in script_spans(text):
@@ -34,18 +34,16 @@ def features(text: str, dictionary: lx.Dictionary | None = None) -> dict[str, fl
         if len(SCRIPT_LANGUAGES.get(script, ())) == 1:
             continue
         tokens = tokenize(span)
-        for space in d.languages:
-            for p in d.search(tokens, space):
-                found[" ".join(t.text for t in tokens[p.start : p.start + p.length])] += 1
+        for p in d.search(tokens, ""):
+            found[" ".join(t.text for t in tokens[p.start : p.start + p.length])] += 1
         for t in tokens:
             if is_ideographic(t.type):
                 found[t.text] += 1
             elif is_word(t.type):
-                for space in d.languages:
-                    if hit := d.longest_prefix(t.text, space):
-                        found[f"pfx={hit[0]}"] += 1
-                    if hit := d.longest_suffix(t.text, space):
-                        found[f"sfx={hit[0]}"] += 1
+                if hit := d.longest_prefix(t.text, ""):
+                    found[f"pfx={hit[0]}"] += 1
+                if hit := d.longest_suffix(t.text, ""):
+                    found[f"sfx={hit[0]}"] += 1
                 for word in regex.split(r"[\-'’.]", t.text):
                     if word:
                         found.update(quadgrams(word))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from enum import IntEnum
 from typing import NamedTuple
 
@@ -138,10 +139,11 @@ _SINGLE = {
     ".": T.PERIOD, "!": T.EXCLAMATION, "?": T.QUESTION_MARK, "-": T.HYPHEN, ",": T.COMMA, ":": T.COLON, ";": T.SEMICOLON, "/": T.SLASH, "\\": T.BACKSLASH,
     '"': T.DOUBLE_QUOTE, "'": T.SINGLE_QUOTE, "&": T.AMPERSAND, ">": T.GREATER_THAN, "<": T.LESS_THAN, "@": T.AT_SIGN, "+": T.PLUS, "#": T.POUND,
 }
-#: The bulk of addresses: a plain word, a plain number, one space or a comma, each before another one.
-_FAST = regex.compile(r"(?:([A-Za-z]+)(?=[ ,]|\Z)|([0-9]+)(?=[ ]|\Z|,[ ])|([ ]+)(?=[ ,]|\Z))|(?<=[A-Za-z0-9 ])(,)(?=[ ]|\Z)")
-_FAST_KIND = (0, int(T.WORD), int(T.NUMERIC), int(T.WHITESPACE), int(T.COMMA))
-_SPACE_AFTER = regex.compile(r"[ ]+(?=[A-Za-z0-9#(])")
+#: The bulk of any text: a word, number, period-ended word, space, line feed or comma that stands before
+#: white space or the end, where no longer token can begin. Groups are numbered by kind.
+_LATIN1 = "A-Za-zÀ-ÖØ-öø-ÿ"
+_FAST = re.compile(rf"([{_LATIN1}]+)(?=[ \n,;!?)]|\Z)|([ ]+)(?=[{_LATIN1}0-9,;]|\Z)|([{_LATIN1}]+\.)(?=[ \n]|\Z)|([0-9]+)(?=[ ]|\Z|,[ ])|(,)(?=[ \n]|\Z)|(\n)|(;)(?=[ \n]|\Z)").match
+_FAST_KIND = tuple(map(int, (0, T.WORD, T.WHITESPACE, T.ABBREVIATION, T.NUMERIC, T.COMMA, T.NEWLINE, T.SEMICOLON)))
 _PHONE_LIKE = regex.compile(r"\+?1?[\-. ]?\(?[2-9][0-8][0-9]\)?[\-. ]?[2-9][0-9]{2}[\-. ]?[0-9]{4}")
 
 
@@ -153,9 +155,9 @@ def scan(text: str) -> list[Token]:
     out: list[Token] = []
     at, n = 0, len(text)
     while at < n:
-        m = _FAST.match(text, at) or _SPACE_AFTER.match(text, at)
+        m = _FAST(text, at)
         if m is not None:
-            kind = _FAST_KIND[m.lastindex] if m.lastindex else int(T.WHITESPACE)
+            kind = _FAST_KIND[m.lastindex]
             if kind != T.NUMERIC or not _PHONE_LIKE.match(text, at):
                 out.append(Token(m[0], at, kind))
                 at = m.end()

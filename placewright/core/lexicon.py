@@ -166,6 +166,14 @@ class Dictionary:
                 first[words[0]].append(words)
             self.first[language] = {w: sorted(ps, key=len, reverse=True) for w, ps in first.items()}
         self.languages = sorted(self.exact)
+        self._merged: Dictionary | None = None
+
+    @property
+    def merged(self) -> Dictionary:
+        """All languages in one name space, "": what is searched when no language is given."""
+        if self._merged is None:
+            self._merged = Dictionary(("", k, phrase, e.canonical) for lang in self.languages for phrase, es in self.exact[lang].items() for e in es for k in e.kinds)
+        return self._merged
 
     def spaces(self, languages: Iterable[str] | None) -> list[str]:
         """The name spaces to search: the languages and ``all``, or every one."""
