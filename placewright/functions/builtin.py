@@ -268,7 +268,7 @@ def number_range(c) -> Column:
         filled = F.transform(digits, lambda d: F.concat(F.repeat(F.lit("0"), F.length(a) - F.length(d)), d))
         return F.when(~fits, F.array(p)).when(a.startswith("0"), filled).otherwise(digits)
 
-    return F.slice(F.flatten(F.transform(F.transform(F.split(_c(c), "[;,]"), F.trim), one)), 1, 100)
+    return F.slice(F.flatten(F.transform(F.transform(F.split(_c(c), "[;,]"), lambda p: F.trim(p)), one)), 1, 100)
 
 
 # -- geography --------------------------------------------------------------------------------------

@@ -21,6 +21,7 @@ def register(spark: SparkSession) -> list[str]:
         else:
             def one(a: pd.Series, b: pd.Series) -> pd.Series:
                 return pd.Series([fn(x, y) for x, y in zip(a, b)], dtype=object)
+        one.__annotations__ = dict.fromkeys("ab"[:n], pd.Series) | {"return": pd.Series}
         spark.udf.register(name, F.pandas_udf(one, returns))
         return name
 

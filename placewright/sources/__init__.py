@@ -44,7 +44,7 @@ def read_dictionaries(spark: SparkSession, root: str) -> DataFrame:
     lines = spark.read.text(f"{root}/*/*.txt").select("value", F.input_file_name().alias("file")).where("trim(value) <> '' and not startswith(trim(value), '#')")
     name = F.regexp_extract("file", r"([^/]+)/([^/]+)\.txt$", 1)
     kind = F.regexp_extract("file", r"([^/]+)/([^/]+)\.txt$", 2)
-    forms = F.transform(F.split("value", r"\|"), F.trim)
+    forms = F.transform(F.split("value", r"\|"), lambda p: F.trim(p))
     good = kind.isin(list(lx.ROLES)) & ~F.contains("value", F.lit("}")) & ~F.array_contains(forms, "")
     checked = F.when(good, forms).otherwise(F.raise_error(F.concat(F.lit("bad dictionary line in "), F.col("file"), F.lit(": "), F.col("value"))).cast("array<string>"))
     rows = lines.select(name.alias("lang"), kind.alias("dict"), checked.alias("forms"))
@@ -129,7 +129,7 @@ def read_osm(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.format("xml").option("rowTag", kind).schema(schema).load(path)
         deps = {"node": F.array().cast("array<long>"), "way": F.transform("nd", lambda n: n["_ref"]) if kind == "way" else None, "relation": F.transform("member", lambda m: m["_ref"] + F.when(m["_type"] == "way", offsets["way"]).when(m["_type"] == "relation", offsets["relation"]).otherwise(0)) if kind == "relation" else None}[kind]
         lat, lon = (F.col("_lat"), F.col("_lon")) if kind == "node" else (F.lit(None).cast("double"),) * 2
-        tags = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"], t["_v"])), F.array().cast("array<struct<k:string,v:string>>")))
+        tags = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>")))
         parts.append(df.select((F.col("_id") + offsets[kind]).alias("id"), F.lit(kind).alias("type"), tags.alias("tags"), F.coalesce(deps, F.array().cast("array<long>")).alias("deps"), lat.alias("lat"), lon.alias("lon")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
