@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from itertools import product
 
 from . import lexicon as lx
@@ -89,6 +90,26 @@ def _token_forms(t: Token, o: Options, language: str, dictionary: lx.Dictionary)
     return list(dict.fromkeys(f for f in forms if f))
 
 
+@lru_cache(64)
+def _memo(o: Options, language: str, dictionary: lx.Dictionary) -> dict:
+    """Forms of tokens seen before, per options, language and dictionary."""
+    return {}
+
+
+def _forms_of(t: Token, o: Options, language: str, dictionary: lx.Dictionary, memo: dict) -> list[str]:
+    key = (t.text, t.type)
+    if key not in memo:
+        if len(memo) > 200_000:
+            memo.clear()
+        memo[key] = _token_forms(t, o, language, dictionary) or [""]
+    return memo[key]
+
+
+@lru_cache(64)
+def _all_off(o: Options) -> bool:
+    return o == Options.off(languages=o.languages, components=o.components)
+
+
 def _affix_forms(word: str, d: lx.Dictionary, space: str) -> list[str]:
     """The word with a known suffix or prefix replaced by its canonical form, apart if separable."""
     out: list[str] = []
@@ -220,11 +241,12 @@ def _expand(text: str, o: Options, languages: Iterable[str], root: bool, diction
         forms = tx.normalize_string_languages(text, _string_options(o), (language,), o.transliterate)
         if o.expand_numex:
             forms = list(dict.fromkeys(replace_numeric_expressions(f, language) for f in forms))
+        memo = _memo(o, language, dictionary)
         for form in forms:
             tokens = tokenize(form, whitespace=True)
             slots: list[list[str]] = []
             for t in tokens:
-                slots.append([" "] if t.type in (TokenType.WHITESPACE, TokenType.NEWLINE) else _token_forms(t, o, language, dictionary) or [""])
+                slots.append([" "] if t.type in (TokenType.WHITESPACE, TokenType.NEWLINE) else _forms_of(t, o, language, dictionary, memo))
             total = 1
             for s in slots:
                 total *= len(s)
@@ -249,7 +271,7 @@ def expand_address(text: str | None, options: Options = Options(), root: bool =
         from .language import guess_languages
 
         languages = guess_languages(text, dictionary)
-    if options == Options.off(languages=options.languages, components=options.components):
+    if _all_off(options):
         return [text]
     return _expand(text, options, languages, root, dictionary) or ([] if root else [text])
 

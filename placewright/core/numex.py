@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -132,6 +133,17 @@ def grammar(language: str) -> Grammar | None:
     return None
 
 
+_ROMAN_TOKEN = regex.compile(r"(?<![\p{L}\p{N}.])[ivxlcdmIVXLCDM]+(?![\p{L}\p{N}.])").finditer
+
+
+@lru_cache(None)
+def _any_rule(language: str):
+    """A quick test whether a text can hold a number word at all."""
+    g = grammar(language)
+    names = "|".join(map(re.escape, sorted((w for w, r in g.rules.items() if r.left != "concat"), key=len, reverse=True)))
+    return re.compile(rf"\b(?:{names})" if g.whole_words else f"(?:{names})").search
+
+
 _WORD = regex.compile(r"[\p{L}\p{M}]+|-|\s+|.", regex.S)
 
 
@@ -161,11 +173,13 @@ def _segments(text: str, g: Grammar) -> list[tuple[str, int, int]]:
 def convert_numeric_expressions(text: str, language: str) -> list[Result]:
     """Spans of number words with their values."""
     if language == "la":
-        return [Result(roman_value(m[0]), m.start(), m.end(), False) for m in regex.finditer(r"(?<![\p{L}\p{N}.])[ivxlcdmIVXLCDM]+(?![\p{L}\p{N}.])", text) if is_likely_roman(m[0])]
+        return [Result(roman_value(m[0]), m.start(), m.end(), False) for m in _ROMAN_TOKEN(text) if is_likely_roman(m[0])]
     g = grammar(language)
     if g is None or not text:
         return []
     low = text.lower()
+    if not _any_rule(language)(low):
+        return []
     segments = _segments(low, g)
     out: list[Result] = []
     i = 0
@@ -250,12 +264,17 @@ def replace_numeric_expressions(text: str, language: str) -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
+@lru_cache(None)
+def _suffixes(language: str) -> tuple[str, ...]:
+    return tuple(sorted({r[2] for r in grammar(language).ordinal_suffixes if r[2]}, key=len, reverse=True))
+
+
 def ordinal_suffix_length(token: str, language: str) -> int:
     """Length of an ordinal suffix at the end of a token, after a digit or a Roman numeral."""
     g = grammar(language)
     if g is None:
         return 0
-    for s in sorted({r[2] for r in g.ordinal_suffixes if r[2]} | ({"th", "st", "nd", "rd"} if language == "en" else set()), key=len, reverse=True):
+    for s in _suffixes(language):
         stem = token[: -len(s)]
         if token.lower().endswith(s) and stem and (stem[-1].isdigit() or is_likely_roman(stem)):
             return len(s)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import dupes, expand, language, lexer, metrics, numex, phonetic, tagger, text
@@ -18,7 +18,7 @@ from ..core.geo import cells_around, parse_coordinate
 __all__ = [
     "tokenize", "normalized_tokens", "normalize_string", "string_alternatives", "transliterate", "replace_numex", "numex_spans", "ordinal_lengths", "expand_address", "expand_address_root",
     "near_dupe_name_hashes", "near_dupe_hashes", "double_metaphone", "jaro", "jaro_winkler", "damerau", "affine_gap", "abbreviation", "duplicate_status", "fuzzy_status", "toponym_status",
-    "language_features", "guess_languages", "disambiguate_language", "script_spans", "parse_address", "geohash_cells", "coordinate", "equivalent", "scalar", "TOKEN",
+    "language_features", "guess_languages", "disambiguate_language", "script_spans", "parse_address", "geohash_cells", "coordinate", "equivalent", "scalar", "spread", "TOKEN",
 ]
 
 TOKEN = "array<struct<text:string,offset:int,type:int>>"
@@ -53,6 +53,14 @@ def scalar(fn: Callable, returns: str, *columns) -> Column:
     return F.pandas_udf(batches, returns)(*[F.col(c) if isinstance(c, str) else c for c in columns])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before a kernel, where its source has fewer parts than that (a small
+    file); larger inputs stay as they are read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
+
+
 def _plain(series: pd.Series) -> list:
     return [None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.tolist() if hasattr(v, "tolist") else v for v in series]
 

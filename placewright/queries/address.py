@@ -35,7 +35,7 @@ def addresses(spark, d):
 def expand_mini(spark, d):
     """The canonical expansion of each address; a street type with two readings has it among others."""
     a = addresses(spark, d).withColumn("raw", F.concat_ws(" ", "number", F.initcap("base"), "abbr"))
-    full = a.select("id", "number", "base", "kind", fn.expand_address("raw", Options(languages=("en",))).alias("e"))
+    full = fn.spread(a).select("id", "number", "base", "kind", fn.expand_address("raw", Options(languages=("en",))).alias("e"))
     want = F.concat_ws(" ", "number", "base", "kind")
     return full.select("id", F.explode(F.filter("e", lambda x: x == want)).alias("expansion"))
 
@@ -44,7 +44,7 @@ def expand_mini(spark, d):
 def expand_root_mini(spark, d):
     a = addresses(spark, d).withColumn("raw", F.concat_ws(" ", F.initcap("base"), "abbr"))
     o = Options(languages=("en",), components=lx.STREET)
-    return a.select("id", "base", fn.expand_address_root("raw", o).alias("e")).select("id", F.explode(F.filter("e", lambda x: x == F.col("base"))).alias("root"))
+    return fn.spread(a).select("id", "base", fn.expand_address_root("raw", o).alias("e")).select("id", F.explode(F.filter("e", lambda x: x == F.col("base"))).alias("root"))
 
 
 @query(f"""WITH {_SYNTH} SELECT id, unnest([number || ' ' || base || ' ' || x for x in CASE WHEN abbr = 'St' THEN ['street', 'saint'] ELSE [kind] END]) AS s FROM a""")

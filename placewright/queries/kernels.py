@@ -18,12 +18,12 @@ def _raw(spark, d):
     """Addresses as people write them, one an order."""
     a = addresses(spark, d)
     unit = F.when(F.col("id") % 4 == 0, F.concat(F.lit(", Apt "), (F.col("id") % 9).cast("string"))).otherwise("")
-    return a.select("id", F.concat(F.col("number"), F.lit(" "), F.when(F.col("id") % 3 == 0, "E ").otherwise(""), F.initcap("base"), F.lit(" "), F.col("abbr"), F.lit("."), unit).alias("raw"))
+    return fn.spread(a).select("id", F.concat(F.col("number"), F.lit(" "), F.when(F.col("id") % 3 == 0, "E ").otherwise(""), F.initcap("base"), F.lit(" "), F.col("abbr"), F.lit("."), unit).alias("raw"))
 
 
 @query()
 def tokenize(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.explode(fn.tokenize("text")).alias("t"))
+    t = fn.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(fn.tokenize("text")).alias("t"))
     return t.groupBy(F.col("t.type").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("t.text")).alias("chars"))
 
 
@@ -40,7 +40,7 @@ def normalized_tokens(spark, d):
 
 @query()
 def normalize_string(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(fn.normalize_string("text")).alias("digest"))
+    return fn.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(fn.normalize_string("text")).alias("digest"))
 
 
 @query()
@@ -84,6 +84,7 @@ def name_hashes(spark, d):
 
 def _places(spark, d):
     a = addresses(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "id").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey"), "o_custkey")
+    a = fn.spread(a)
     labels = F.array(*map(F.lit, ("house", "house_number", "road", "city")))
     return a.select("id", labels.alias("labels"), F.array(F.translate("c_name", "#", " "), F.col("number"), F.concat_ws(" ", F.initcap("base"), F.when(F.col("id") % 2 == 0, F.col("abbr")).otherwise(F.col("kind"))), F.concat(F.lit("city"), F.col("c_nationkey").cast("string"))).alias("values"))
 
