@@ -23,6 +23,8 @@ __all__ = [
 
 TOKEN = "array<struct<text:string,offset:int,type:int>>"
 _MEMO = 100_000
+#: Sources below this size a core have too few parts to keep all cores busy.
+SPREAD_BYTES = 64 << 20
 
 
 def scalar(fn: Callable, returns: str, *columns) -> Column:
@@ -54,11 +56,11 @@ def scalar(fn: Callable, returns: str, *columns) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores before a kernel, where its source has fewer parts than that (a small
-    file); larger inputs stay as they are read, without a shuffle."""
+    """``df`` over all cores before a kernel, where its source is too small to have as many parts;
+    larger inputs stay as they are read, without a shuffle. Only the plan's statistics are asked."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if parts < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 def _plain(series: pd.Series) -> list:

@@ -152,9 +152,6 @@ def toponym_status(spark, d):
     return a.join(b, F.col("id1") < F.col("id2")).select("id1", "id2", fn.toponym_status("la", "va", "lb", "vb", ("en",)).alias("status"))
 
 
-_LETTERS = "CAST(s_suppkey AS VARCHAR)"
-
-
 @query("""WITH t AS (SELECT o_orderkey AS id, [chr(CAST(97 + o_orderkey % 3 AS INTEGER)), 'and', chr(CAST(98 + o_orderkey % 4 AS INTEGER))] AS a, [chr(CAST(97 + o_orderkey % 2 AS INTEGER)), 'and', 'c'] AS b FROM orders)
 SELECT id, len(list_filter(a, lambda x: len(x) = 1 AND NOT list_contains(b, x))) > 0 AND len(list_filter(b, lambda x: len(x) = 1 AND NOT list_contains(a, x))) > 0 AS private,
 CAST(CASE WHEN array_to_string(a, '') = array_to_string(b, '') THEN 9 WHEN j >= 0.9 THEN 6 WHEN j >= 0.7 THEN 3 ELSE 0 END AS INTEGER) AS joined

@@ -11,9 +11,6 @@ from ..plans import gazetteer, resolve
 from . import query, table
 from .address import addresses
 
-_NAMES = ("id", "raw")
-
-
 def _raw(spark, d):
     """Addresses as people write them, one an order."""
     a = addresses(spark, d)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import aggregates, joins, ordering
+from ..operators.graph import written
 from . import query, table
 
 _WORDS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents"
@@ -28,7 +29,7 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(weigh
 SELECT doc_id, term, rank, round(weight, 6) AS weight FROM k WHERE rank <= 5""")
 def tfidf_top5(spark, d):
     n = table(spark, d, "documents").count()
-    weights = aggregates.tfidf(_counts(spark, d), "doc_id", n)
+    weights = aggregates.tfidf(written(_counts(spark, d)), "doc_id", n)
     top = ordering.top_per_group(weights, ["doc_id"], [F.desc(F.round("weight", 9)), F.col("term")], 5)
     return top.select("doc_id", "term", "rank", F.round("weight", 6).alias("weight"))
 
@@ -40,7 +41,7 @@ b AS (SELECT phrase, count(*) AS n FROM g2 GROUP BY 1 HAVING count(*) >= 20),
 g3 AS (SELECT g2.phrase || ' ' || c.token AS phrase FROM g2 JOIN b ON g2.phrase = b.phrase JOIN t c ON g2.doc_id = c.doc_id AND c.pos = g2.pos + 2)
 SELECT phrase, n, 1 AS k FROM u UNION ALL SELECT phrase, n, 2 FROM b UNION ALL SELECT phrase, count(*), 3 FROM g3 GROUP BY 1 HAVING count(*) >= 20""")
 def frequent_phrases(spark, d):
-    tokens = table(spark, d, "documents").select("doc_id", F.posexplode(fn.words("text")).alias("pos", "token"))
+    tokens = fn.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(fn.words("text")).alias("pos", "token"))
     return aggregates.frequent_phrases(tokens, "doc_id", 20, 3)
 
 
