@@ -25,7 +25,7 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-# -- decontamination --------------------------------------------------------------------------------
+# -- decontamination
 
 
 def ascii_words(text):
@@ -88,7 +88,7 @@ def test_proximity(spark):
     assert got == want and got
 
 
-# -- mixing -----------------------------------------------------------------------------------------
+# -- mixing
 
 
 def goals(sizes, weights=(5, 2, 1), cap=3):
@@ -139,7 +139,7 @@ def test_budgets_are_nested(spark):
         assert abs((sizes.where(F.col("h") <= limit).agg(F.sum("size")).first()[0] or 0) - b) <= 4
 
 
-# -- near-duplicates --------------------------------------------------------------------------------
+# -- near-duplicates
 
 
 def shingle_set(text):
@@ -202,7 +202,7 @@ def test_one_large_group_of_copies(spark):
     assert {r.component_id for r in neardup.linked(documents(spark, docs)).collect()} == {0}
 
 
-# -- quality ----------------------------------------------------------------------------------------
+# -- quality
 
 
 def test_quality(spark, empty):
@@ -227,7 +227,7 @@ def test_quality(spark, empty):
     assert quality.filtered(documents(spark, rows), labels).columns == documents(spark, rows).columns
 
 
-# -- packing ----------------------------------------------------------------------------------------
+# -- packing
 
 
 def first_fit_rows(lengths, size):
@@ -278,7 +278,7 @@ def test_packing_round_trip(spark, empty):
     assert packing.packed(empty).count() == 0
 
 
-# -- search -----------------------------------------------------------------------------------------
+# -- search
 
 
 def test_topk(spark):
@@ -312,7 +312,7 @@ def test_blocks_are_pruned():
     assert sorted(s[0].tolist()) == sorted(np.sort(best)[-5:].astype(int).tolist())
 
 
-# -- token counts -----------------------------------------------------------------------------------
+# -- token counts
 
 
 def test_token_counts(spark, empty):
@@ -335,7 +335,7 @@ def test_token_counts(spark, empty):
     assert tokencount.counted(empty).count() == 0
 
 
-# -- chat -------------------------------------------------------------------------------------------
+# -- chat
 
 
 def test_chat_round_trip():
@@ -368,7 +368,7 @@ def test_chat_rows(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
-# -- personal data ----------------------------------------------------------------------------------
+# -- personal data
 
 
 def base_spans(t):
@@ -405,7 +405,7 @@ def test_added_spans(spark, empty):
     assert pii.summary(pii.spans_of(empty)).count() == 0
 
 
-# -- pages ------------------------------------------------------------------------------------------
+# -- pages
 
 
 @pytest.mark.parametrize(
