@@ -112,8 +112,8 @@ _RULES: list[tuple[int, regex.Pattern]] = [
     for kind, pattern, flags in (
         (T.INVALID_CHAR, r"[\p{Cc}--\s]|[\p{Co}\p{Cs}]|[\p{Cf}--[‌‍­]]", 0),
         (T.WHITESPACE, r"[^\S\n\r]+", 0),
-        (T.EMAIL, r"[a-zA-Z0-9._%+\-]+@(?:[a-zA-Z0-9]+\.)+[a-zA-Z0-9]{2,3}", regex.POSIX),
-        (T.URL, r"https?:(?:/{1,3}|[A-Za-z0-9%])[^\s\0<>{}\[\]]+", 0),
+        (T.EMAIL, r"[\w.%+\-&&[\x00-\x7F]]+@(?:[0-9A-Za-z]+\.)+[0-9A-Za-z]{2,3}", regex.POSIX),
+        (T.URL, r"https?:(?:///?|/|[%0-9A-Za-z])[^\s\0<>{}\[\]]+", 0),
         (T.ELLIPSIS, r"\.{2,}|…", 0),
         (T.US_PHONE, r"(?:\+?1[\-. ]?)?\(?[2-9][0-8][0-9]\)?[\-. ]?[2-9][0-9]{2}[\-. ]?[0-9]{4}", 0),
         (T.INTL_PHONE, rf"\+(?:{_COUNTRY})\s*(?:[()./\- ]?[0-9]){{9}}[0-9]{{1,2}}", regex.POSIX),

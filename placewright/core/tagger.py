@@ -81,7 +81,7 @@ def word_features(tokens: list[Token], vocabulary: Counter | dict | None = None,
     return out
 
 
-# -- linear chain -----------------------------------------------------------------------------------
+# -- linear chain
 
 
 def viterbi(state: np.ndarray, trans: np.ndarray, state_trans: np.ndarray | None = None) -> tuple[float, list[int]]:

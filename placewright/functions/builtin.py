@@ -28,7 +28,7 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-# -- strings ----------------------------------------------------------------------------------------
+# -- strings
 
 
 def is_ascii(c) -> Column:
@@ -76,7 +76,7 @@ def remove_parens(c) -> Column:
     return F.aggregate(F.split(_c(c), ""), F.struct(F.lit(0).alias("d"), F.lit("").alias("s")), step, lambda acc: F.trim(acc["s"]))
 
 
-# -- tokens -----------------------------------------------------------------------------------------
+# -- tokens
 
 
 def strip_final_period(c) -> Column:
@@ -151,7 +151,7 @@ def prev_next(tokens) -> Column:
     return _let(_c(tokens), lambda t: F.transform(t, lambda x, i: F.struct(x.alias("token"), F.try_element_at(F.concat(F.array(F.lit("START")), t), i + 1).alias("prev"), F.coalesce(F.try_element_at(t, i + 2), F.lit("END")).alias("next"))))
 
 
-# -- sets and statuses ------------------------------------------------------------------------------
+# -- sets and statuses
 
 
 def set_jaccard(a, b) -> Column:
@@ -212,7 +212,7 @@ def common_prefix_length(a, b) -> Column:
     return F.when(n == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1))), i).otherwise(acc)))
 
 
-# -- keys and alternatives --------------------------------------------------------------------------
+# -- keys and alternatives
 
 
 def product_strings(*slots, separator: str = " ") -> Column:
@@ -271,7 +271,7 @@ def number_range(c) -> Column:
     return F.slice(F.flatten(F.transform(F.transform(F.split(_c(c), "[;,]"), lambda p: F.trim(p)), one)), 1, 100)
 
 
-# -- geography --------------------------------------------------------------------------------------
+# -- geography
 
 
 def haversine(lat1, lon1, lat2, lon2, radius: float = 6373.0) -> Column:
@@ -298,7 +298,7 @@ def geohash_cell(lat, lon, precision: int = 6) -> Column:
     return F.when((_c(lat) >= -90) & (_c(lat) < 90), F.concat(*chars))
 
 
-# -- classes, codes, order --------------------------------------------------------------------------
+# -- classes, codes, order
 
 
 def argmax_label(scores) -> Column:
