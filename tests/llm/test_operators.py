@@ -388,7 +388,8 @@ def test_base_spans():
     for _ in range(30_000):
         t = "".join(rng.choice(part) for _ in range(rng.randint(0, 14)))
         assert [s for s in find(t) if s[0] in pii.BASE] == base_spans(t), t
-    long = "1" * 100_000 + " " + "a@" * 50_000 + "." * 50_000 + "+1 " * 20_000
+    assert find("1" * 100_000 + " " + "a@" * 50_000 + "." * 50_000) == []  # linear, unlike the patterns themselves
+    long = "1" * 3_000 + " " + "a@" * 3_000 + "." * 3_000 + "+1 " * 1_000
     assert [s for s in find(long) if s[0] in pii.BASE] == base_spans(long)
 
 
