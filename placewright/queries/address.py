@@ -128,7 +128,7 @@ s AS (SELECT a.id AS id1, b.id AS id2, count(*) AS shared FROM g a JOIN f USING
 @query(f"""WITH {_GRAMS} SELECT id1, id2, shared, round(j, 6) AS jaccard, CAST(CASE WHEN j >= 0.9 THEN 6 WHEN j >= 0.7 THEN 3 ELSE 0 END AS INTEGER) AS status
 FROM (SELECT id1, id2, shared, CAST(shared AS DOUBLE) / (x.n + y.n - shared) AS j FROM s JOIN n x ON x.id = id1 JOIN n y ON y.id = id2)""")
 def near_dupe_status(spark, d):
-    out = resolve.near_duplicate_texts(table(spark, d, "documents"), "doc_id", "text")
+    out = resolve.near_duplicate_texts(table(spark, d, "documents"), "doc_id", "text", df_cap=20)  # as its SQL has it
     return out.select("id1", "id2", "shared", F.round("jaccard", 6).alias("jaccard"), "status")
 
 

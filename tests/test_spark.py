@@ -147,6 +147,14 @@ def test_plans(spark):
     assert training.ftrl_predict(training.train_sgd([({"a": 1.0}, 0), ({"b": 1.0}, 1)] * 20, 2), {"b": 1.0}) == 1
 
 
+def test_large_groups_of_near_duplicate_texts(spark):
+    """25 copies, and two near copies that share only what all have: no n-gram is too common to count."""
+    base = " ".join(f"w{i}" for i in range(40))
+    texts = [(i, base) for i in range(25)] + [(25, base + " x"), (26, "y " + base)]
+    got = {(r.id1, r.id2): (r.shared, r.status) for r in resolve.near_duplicate_texts(spark.createDataFrame(texts, "id int, text string"), "id", "text").collect()}
+    assert len(got) == 27 * 26 // 2 and set(got.values()) == {(38, 6)}
+
+
 def test_language_classifier(spark):
     data = [("en", f"{i} elm street north") for i in range(12)] + [("fr", f"{i} rue du port nord") for i in range(12)]
     df = spark.createDataFrame(data, "lang string, a string")
