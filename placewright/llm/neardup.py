@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import BoundedCache, Scratch, small
 
@@ -179,6 +180,11 @@ def _lists(classes: DataFrame, k: int, slack: float, scratch: Scratch) -> DataFr
 
 def linked(documents: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, k: int = K, slack: float = SLACK) -> DataFrame:
     """Per document row: doc_id, n (set size), key (set digest, null if empty), component_id."""
+    return _linked(documents, width, threshold, k, slack, False)
+
+
+def _linked(documents: DataFrame, width: int, threshold: int, k: int, slack: float, roots: bool) -> DataFrame:
+    """``linked``; with ``roots`` also the component's key, which tells components with one smallest id apart."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "neardup")
     texts = documents.select("doc_id", "text")
@@ -219,26 +225,58 @@ def linked(documents: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
         classes.join(nodes.select(F.col("root").alias("key")).distinct(), "key").select("key", F.col("key").alias("root"), "doc_id")
     )
     smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked_ = ids.join(smallest, "root").select("key", "component_id")
-    final = scratch.write(classes.join(linked_, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id")).where("component_id is not null"), "final")
-    out = rows.select("doc_id", "n", "key").join(final, "key", "left").select("doc_id", "n", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked_ = ids.join(smallest, "root").select("key", "component_id", "root")
+    root = [F.coalesce("root", "key").alias("root")] if roots else []
+    final = scratch.write(classes.join(linked_, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"), *root).where("component_id is not null"), "final")
+    out = rows.select("doc_id", "n", "key").join(final, "key", "left").select("doc_id", "n", "key", F.coalesce("component_id", "doc_id").alias("component_id"), *root)
     out = scratch.write(out, "out")
     scratch.drop(rows, classes, lists, full, open_, final)
     return out
 
 
+def _keyed(width: int):
+    """Rows with the digest of their shingle set, null if it is empty, as another column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        shingles = Shingler(width)
+        for batch in batches:
+            sets = (shingles(t) for t in batch.column("text").to_pylist())
+            keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__key"])
+
+    return run
+
+
 def deduplicated(documents: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """``documents`` with one row of each component: the one with the smallest doc_id.
 
-    Of repeated rows with that id one stays; rows without a set or an id all stay.
+    Of several rows with that id, repeated or near copies of each other, one stays; rows without a
+    set or an id all stay. Rows whose id has several texts are judged by id and set.
     """
-    found = linked(documents, width, threshold)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct()
-    again = found.where("doc_id = component_id and key is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__d"))
+    found = _linked(documents, width, threshold, K, SLACK, True)
+    twice = small(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id"), MAX_ROWS)
+    key = F.coalesce("key", F.lit(b""))
+    mixed = found.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(key).alias("__a"), F.max(key).alias("__b")).where("__a <> __b").select(F.col("doc_id").alias("__d"))
+    mixed = small(mixed, MAX_ROWS)
+    names, several = documents.columns, not mixed.isEmpty()
+    plain, rest = found, documents
+    if several:
+        plain = found.join(mixed, found.doc_id == F.col("__d"), "left_anti")
+        rest = documents.join(mixed, documents.doc_id == F.col("__d"), "left_anti")
+    gone = plain.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct()
+    again = plain.where("doc_id = component_id and key is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__d"))
     gone, again = small(gone, MAX_ROWS), small(again, MAX_ROWS)
-    once = documents.join(gone, documents.doc_id == F.col("__d"), "left_anti")
-    if again.isEmpty():
+    once = rest.join(gone, rest.doc_id == F.col("__d"), "left_anti")
+    if not again.isEmpty():
+        repeated = once.join(again, once.doc_id == F.col("__d"), "left_semi").dropDuplicates(["doc_id"])
+        once = once.join(again, once.doc_id == F.col("__d"), "left_anti").select(names).unionByName(repeated.select(names))
+    if not several:
         return once
-    names = documents.columns
-    repeated = once.join(again, once.doc_id == F.col("__d"), "left_semi").dropDuplicates(["doc_id"])
-    return once.join(again, once.doc_id == F.col("__d"), "left_anti").select(names).unionByName(repeated.select(names))
+    heads = found.join(mixed, found.doc_id == F.col("__d"), "left_semi").where("doc_id = component_id and key is not null")
+    heads = heads.groupBy("root", "doc_id").agg(F.min("key").alias("__k")).select(F.col("doc_id").alias("__d"), "__k")
+    rows = documents.join(mixed, documents.doc_id == F.col("__d"), "left_semi")
+    rows = rows.mapInArrow(_keyed(width), StructType([*documents.schema.fields, StructField("__key", BinaryType())]))
+    kept = rows.join(heads, (rows.doc_id == F.col("__d")) & (F.col("__key") == F.col("__k")), "left_semi").dropDuplicates(["doc_id", "__key"])
+    return once.select(names).unionByName(kept.select(names)).unionByName(rows.where("__key is null").select(names))
