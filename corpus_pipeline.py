@@ -1,7 +1,7 @@
 """A training-data pipeline of five stages over ``documents``; each stage's result is written as
 Parquet and read again as the next one's input.
 
-Quality keeps what scores at least 0.3; near-duplicates keep one document of each group;
+Quality keeps what scores at least 0.3; near-duplicates (similarity of 0.8 or more) keep one document of each group;
 decontamination keeps documents without a benchmark window; mixing repeats or leaves out documents
 so that each source comes near its share; packing writes rows of token ids with their segments.
 """
@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, threshold=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

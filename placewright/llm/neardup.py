@@ -14,7 +14,7 @@
 4. Links become components by alternating large-star and small-star rounds, all as tables.
 
 Sketch overlaps below ``SLACK`` = 0.45 of ``K`` = 64 have a probability under 1e-12 for a pair at
-a similarity of 0.85, so no link is lost but for that; there is no cap on lists, partners or rounds.
+a similarity of 0.85 (op6) and under 1e-9 at 0.8 (the pipeline), so no link is lost but for that; there is no cap on lists, partners or rounds.
 
 Defined cases: null or wordless text has an empty set and no links; fewer words than ``width``
 are one shingle; a document's identity is its row: rows with one doc_id and different texts are

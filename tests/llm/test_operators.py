@@ -202,6 +202,17 @@ def test_reused_ids_with_different_texts(spark):
     assert got == sorted([(1, a), (5, b), (5, None), (6, c), (6, d), (7, seven), (10, f), (None, f)], key=repr)
 
 
+def test_pipeline_near_duplicates_from_080(spark):
+    import corpus_pipeline
+
+    base = [f"p{i}" for i in range(100)]
+    near, far = list(base), list(base)
+    near[30] = near[60] = "x"  # 86 of 106 shingles: 0.81
+    far[20] = far[50] = far[80] = "y"  # 81 of 111 and less: 0.73
+    docs = documents(spark, [(1, " ".join(base), "s"), (2, " ".join(near), "s"), (3, " ".join(far), "s")])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [1, 3]
+
+
 def test_one_large_group_of_copies(spark):
     """All members of a list are near each other: a star, not all pairs, and still one component."""
     rng = random.Random(4)
