@@ -18,7 +18,7 @@ joined in page order by one space. Nothing else is dropped.
 Defined cases: null or empty html gives an empty text; unclosed, stray and misnested tags are
 repaired as browsers do, near enough; a page whose url has no host forms a host of its own kind
 (the empty one); a host of fewer than ``LEAST`` different pages has no template; repeated rows
-are answered each. Very large sibling lists are matched as one node, their text is kept whole.
+are answered each. Sibling lists of any length are matched in memory linear in their length.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,14 +242,14 @@ def articles(root: Node) -> list[Node]:
 
 
 def outline(root: Node) -> tuple:
-    """(sig, text hash or None, kids, id) of a page for matching. Articles, leaves and very large lists
-    are single nodes; nodes that are left out anyway don't take part."""
+    """(sig, text hash or None, kids, id) of a page for matching. Articles and leaves are single
+    nodes; nodes that are left out anyway don't take part."""
     whole = {id(n) for n in articles(root)}
 
     def walk(node: Node) -> tuple:
+        if id(node) in whole:
+            return (node.sig, None, (), id(node))
         kids = [k for k in node.kids if type(k) is Node and not _dropped(k, False)]
-        if id(node) in whole or len(kids) > 64:
-            return (node.sig, None if id(node) in whole else _hash(node), (), id(node))
         if not kids:
             return (node.sig, _hash(node), (), id(node))
         return (node.sig, None, tuple(map(walk, kids)), id(node))
@@ -273,40 +274,101 @@ def _hash(node: Node) -> int:
     return xxhash.xxh3_64_intdigest(_said(parts).encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFFF
 
 
+def _scores(rows: Iterator[np.ndarray], width: int) -> np.ndarray:
+    """Weights of the heaviest ordered matchings of all ``rows`` with the first 0, 1, ... columns."""
+    best = np.zeros(width + 1, np.int64)
+    for row in rows:
+        new = best.copy()
+        np.maximum(new[1:], best[:-1] + row, out=new[1:])
+        best = np.maximum.accumulate(new)
+    return best
+
+
+def _ordered(row, lo: int, hi: int, left: int, right: int) -> list[tuple[int, int]]:
+    """A heaviest ordered matching of rows lo..hi with columns left..right; ``row(i)`` has the weights
+    of row i. By halves (Hirschberg), so it holds a few rows at a time."""
+    out, todo = [], [(lo, hi, left, right)]
+    while todo:
+        lo, hi, left, right = todo.pop()
+        if lo >= hi or left >= right:
+            continue
+        if hi - lo == 1:
+            weights = row(lo)[left:right][::-1]
+            j = int(weights.argmax())
+            if weights[j] > 0:
+                out.append((lo, right - 1 - j))
+            continue
+        mid = (lo + hi) // 2
+        head = _scores((row(i)[left:right] for i in range(lo, mid)), right - left)
+        tail = _scores((row(i)[left:right][::-1] for i in range(hi - 1, mid - 1, -1)), right - left)
+        cut = left + int((head + tail[::-1]).argmax())
+        todo += [(lo, mid, left, cut), (mid, hi, cut, right)]
+    return out
+
+
 def match(a: tuple, b: tuple) -> list[tuple[tuple, tuple]]:
-    """Simple tree matching: the pairs of nodes of a largest ordered matching of two outlines."""
-    memo: dict[tuple[int, int], tuple[int, tuple]] = {}
-
-    def weigh(x: tuple, y: tuple) -> tuple[int, tuple]:
-        if x[0] != y[0]:
-            return 0, ()
-        key = (x[3], y[3])
-        if key in memo:
-            return memo[key]
+    """Simple tree matching: the pairs of nodes of a largest ordered matching of two outlines; of
+    several largest ones, among siblings one with the most equal nodes."""
+    shapes: dict[tuple, int] = {}  # of a node without its texts, on which the size of a matching depends
+    wholes: dict[tuple, int] = {}
+    kinds: list[tuple] = []
+    known: tuple[dict, dict] = {}, {}  # of each outline, node id to shape and whole
+
+    def learn(t: tuple, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
+        kids = [learn(k, known) for k in t[2]]
+        shape = (t[0], tuple(k[0] for k in kids))
+        if shape not in shapes:
+            shapes[shape] = len(kinds)
+            kinds.append(shape)
+        whole = wholes.setdefault((t[0], t[1], tuple(k[1] for k in kids)), len(wholes))
+        known[t[3]] = shapes[shape], whole
+        return known[t[3]]
+
+    memo: dict[tuple[int, int], int] = {}
+
+    def weigh(x: int, y: int) -> int:
+        """Size of a largest matching of two shapes."""
+        if kinds[x][0] != kinds[y][0]:
+            return 0
+        if (x, y) not in memo:
+            xs, ys = kinds[x][1], kinds[y][1]
+            memo[x, y] = 1 + (int(_scores(map(table(ys), xs), len(ys))[-1]) if xs and ys else 0)
+        return memo[x, y]
+
+    def table(ys: tuple[int, ...]):
+        """The weights of a shape with each of ``ys``, worked out once per different shape."""
+        each, at = np.unique(np.array(ys, np.int64), return_inverse=True)
+        held: dict[int, np.ndarray] = {}
+
+        def row(x: int) -> np.ndarray:
+            if x not in held:
+                held[x] = np.array([weigh(x, y) for y in each.tolist()], np.int64)
+            return held[x][at]
+
+        return row
+
+    def kids_of(x: tuple, y: tuple) -> list[tuple[tuple, tuple]]:
         xs, ys = x[2], y[2]
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, p in enumerate(xs, 1):
-            for j, q in enumerate(ys, 1):
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weigh(p, q)[0])
-        chosen, i, j = [], len(xs), len(ys)
-        while i and j:
-            w = weigh(xs[i - 1], ys[j - 1])[0]
-            if w and best[i][j] == best[i - 1][j - 1] + w:
-                chosen.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        memo[key] = (1 + best[-1][-1], tuple(chosen))
-        return memo[key]
-
+        (sx, wx), (sy, wy) = ([[of[k[3]][i] for k in kids] for i in (0, 1)] for kids, of in zip((xs, ys), known))
+        n, m, head = len(xs), len(ys), 0
+        while head < min(n, m) and wx[head] == wy[head]:  # equal nodes at both ends are in some best matching
+            head += 1
+        while min(n, m) > head and wx[n - 1] == wy[m - 1]:
+            n, m = n - 1, m - 1
+        pairs = [(i, i) for i in range(head)] + [(n + i, m + i) for i in range(len(xs) - n)]
+        if head < min(n, m):
+            weights, equal = table(tuple(sy[head:m])), np.array(wy[head:m], np.int64)
+            pairs += [(i, head + j) for i, j in _ordered(lambda i: (weights(sx[i]) << 32) + (equal == wx[i]), head, n, 0, m - head)]
+        return [(xs[i], ys[j]) for i, j in pairs]
+
+    for tree, of in zip((a, b), known):
+        learn(tree, of)
     pairs, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         if x[0] == y[0]:
             pairs.append((x, y))
-            todo += weigh(x, y)[1]
+            todo += kids_of(x, y)
     return pairs
 
 

@@ -460,6 +460,27 @@ def test_wrapper_induction(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+def test_long_sibling_lists_are_aligned(spark):
+    """The template goes whatever the number of blocks beside it, and where the numbers differ."""
+    page = lambda i, n: "<body><p>Home</p><p>About us</p>" + "".join(f"<p>line {i} {k}</p>" for k in range(n)) + "<p>All rights kept</p></body>"
+    rows = [(i, f"http://h.example/{i}", page(i, 80 + 7 * i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in html.extracted(df).collect()) == [(i, " ".join(f"line {i} {k}" for k in range(80 + 7 * i))) for i in range(6)]
+
+
+def test_ordered_matching_is_heaviest():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = rng.integers(0, 9, 2)
+        w = rng.integers(0, 4, (n, m))
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i][j])
+        got = sorted(html._ordered(lambda i: w[i], 0, n, 0, m))
+        assert sum(w[i][j] for i, j in got) == best[n][m] and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+
+
 def test_tree_matching():
     a = html.outline(html.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))
     b = html.outline(html.parse("<div><h2>t</h2><p>1</p><ul><li>x</li></ul><p>3</p></div>"))
