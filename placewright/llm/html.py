@@ -61,21 +61,24 @@ _DROP_WORD = frozenset(
     "masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social comment comments commentlist disqus respond "
     "related recommended recommendations widget toolbar pagination pager copyright disclaimer login form".split()
 )
+_BESIDE_WORD = frozenset("related recommended recommendations sidebar teaser teasers".split())
+_NOT_BESIDE = frozenset("has with no without".split())  # words of a class such as has-sidebar
 _MAIN_WORD = frozenset("article articlebody maincontent content post entry story main".split())
 
 
 class Node:
     """A block of the page; ``kids`` are nodes and strings of raw inline text."""
 
-    __slots__ = ("tag", "sig", "kids", "drop", "main")
+    __slots__ = ("tag", "sig", "kids", "drop", "main", "beside")
 
-    def __init__(self, tag: str, sig: str, drop: int, main: int):
-        self.tag, self.sig, self.kids, self.drop, self.main = tag, sig, [], drop, main
+    def __init__(self, tag: str, sig: str, drop: int, main: int, beside: bool = False):
+        self.tag, self.sig, self.kids, self.drop, self.main, self.beside = tag, sig, [], drop, main, beside
 
 
-def _hints(attrs: str) -> tuple[str, int, int]:
-    """(signature, drop, main) of an element's attributes; drop 2 is unconditional."""
-    sig, drop, main = "", 0, 0
+def _hints(attrs: str) -> tuple[str, int, int, bool]:
+    """(signature, drop, main, beside) of an element's attributes; drop 2 is unconditional, beside marks
+    teasers and what stands beside the article."""
+    sig, drop, main, beside = "", 0, 0, False
     for m in _HINT.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
@@ -84,6 +87,7 @@ def _hints(attrs: str) -> tuple[str, int, int]:
             role = value.strip().lower()
             if role in _DROP_ROLE:
                 drop = max(drop, 1)
+                beside = beside or role in ("complementary", "navigation")
             elif role in ("main", "article"):
                 main = 2
         elif name == "itemprop":
@@ -93,20 +97,21 @@ def _hints(attrs: str) -> tuple[str, int, int]:
             words = [w.lower() for w in _WORDS.findall(value)]
             if name == "class":
                 sig = value
+            beside = beside or any(not _BESIDE_WORD.isdisjoint(w) and _NOT_BESIDE.isdisjoint(w) for w in ([x.lower() for x in _WORDS.findall(name)] for name in value.split()))
             if not _DROP_WORD.isdisjoint(words):
                 drop = max(drop, 1)
             elif not _MAIN_WORD.isdisjoint(words):
                 main = max(main, 1)
             if "header" in words:
                 drop = max(drop, -1)
-    return sig, drop, main
+    return sig, drop, main, beside
 
 
 def parse(page: str) -> Node:
     """The block tree of a page."""
     root = Node("#root", "", 0, 0)
     stack: list[tuple[str, Node]] = [("#root", root)]  # inline elements are on it with the block they are in
-    memo: dict[str, tuple[str, int, int]] = {}
+    memo: dict[str, tuple[str, int, int, bool]] = {}
     at, top = 0, root
     search = _TOKEN.search
     while True:
@@ -156,7 +161,7 @@ def parse(page: str) -> Node:
                 if cut:
                     del stack[cut:]
             top = stack[-1][1]
-        sig, drop, main = memo.get(attrs) or memo.setdefault(attrs, _hints(attrs)) if attrs else ("", 0, 0)
+        sig, drop, main, beside = memo.get(attrs) or memo.setdefault(attrs, _hints(attrs)) if attrs else ("", 0, 0, False)
         if tag in _DROP:
             drop = max(drop, 1)
         elif tag == "header":
@@ -169,7 +174,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
             continue
         if block or drop > 0 or main == 2:
-            node = Node(tag, f"{tag}.{sig}", drop, main)
+            node = Node(tag, f"{tag}.{sig}", drop, main, beside or tag in ("aside", "nav"))
             top.kids.append(node)
             top = node
         if not attrs.endswith("/") or block:
@@ -215,29 +220,30 @@ def text_of(node: Node, inside: bool = False, template: frozenset = frozenset())
     return _said(out)
 
 
-def _named(node: Node, level: int, out: list[Node]) -> list[Node]:
-    """The outermost nodes that are marked as main text at ``level``, outside dropped ones."""
+def _named(node: Node, level: int, out: list[tuple[Node, bool]], beside: bool = False) -> list[tuple[Node, bool]]:
+    """The outermost nodes that are marked as main text at ``level``, outside dropped ones; each with
+    whether it is marked as a teaser or in a block that stands beside the article."""
     for k in node.kids:
         if type(k) is Node and not _dropped(k, False):
             if k.main >= level:
-                out.append(k)
+                out.append((k, beside or k.beside))
             else:
-                _named(k, level, out)
+                _named(k, level, out, beside or k.beside)
     return out
 
 
 def articles(root: Node) -> list[Node]:
-    """The nodes that the page names as its article; of several, those that the largest one dwarfs
-    (teasers of other articles) are left out."""
+    """The nodes that the page names as its article; of several, those marked as teasers of other
+    articles, themselves or by a block they are in, are left out, unless all with text are. Size plays no part."""
     for level in (2, 1):
         found = _named(root, level, [])
-        if len(found) == 1 and found[0].tag == "main":
-            inner = _named(found[0], 2, [])
-            if len(inner) == 1 and 2 * len(text_of(inner[0], True)) >= len(text_of(found[0], True)):
+        if len(found) == 1 and found[0][0].tag == "main":
+            inner = [n for n, _ in _named(found[0][0], 2, [])]
+            if len(inner) == 1 and 2 * len(text_of(inner[0], True)) >= len(text_of(found[0][0], True)):
                 return inner
         if found:
-            sizes = [len(text_of(n, True)) for n in found] if len(found) > 1 else [1]
-            return [n for n, s in zip(found, sizes, strict=True) if 4 * s >= max(sizes) and s]
+            said = [(n, b) for n, b in found if text_of(n, True)] if len(found) > 1 else found
+            return [n for n, b in said if not b] or [n for n, _ in said]
     return []
 
 

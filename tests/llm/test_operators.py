@@ -448,6 +448,20 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='entry-title'><a href='/'>T</a></div><div class='entry-content'><p>a much longer body of text</p></div>", "T a much longer body of text"),
+        ("<article>a long section of the page's text</article><article>short</article>", "a long section of the page's text short"),
+        ("<article class='has-sidebar'>long main text here</article><article>short</article>", "long main text here short"),
+        ("<article>main</article><aside class='related'><article>of another page, and longer</article></aside>", "main"),
+        ("<aside><article>only one</article></aside>", "only one"), ("<article class='teaser'>one</article><article class='teaser'>two</article>", "one two"),
+    ],
+)
+def test_main_nodes_go_by_marks_not_by_size(page, want):
+    assert html.main_text(page) == want
+
+
 def test_wrapper_induction(spark):
     """Pages without any telling mark: what is the same on the host's pages goes, what varies stays."""
     rows = [(i, f"http://h.example/{i}", f"<html><body><div><p>Home</p><p>About us</p></div><div><p>story {i} begins</p><p>and goes on {i * 7}</p></div><div><p>All rights kept</p></div></body></html>") for i in range(8)]
