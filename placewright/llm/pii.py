@@ -44,7 +44,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
-_VALUE = re.compile(r"[\s\"']{0,3}(?:number|no|nr|id|#)?\.?[\s\"']{0,3}(?:[:=#]|\bis\b)[\s\"']{0,3}([A-Za-z0-9][A-Za-z0-9_/+.=-]{3,255})")
+_VALUE = re.compile(r"[\s\"']{0,3}(?:number|no|nr|id|#)?\.?[\s\"']{0,3}(?:[:=#]|\bis\b)[\s\"']{0,3}(?=[A-Za-z0-9][A-Za-z0-9_/+.=-]{3})")
+_RUN = re.compile(r"[A-Za-z0-9_/+.=-]+")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{2,4}){2,8}")
 _ASCII_WORD = re.compile(r"[A-Za-z0-9_]")
 
@@ -92,7 +93,7 @@ class Finder:
             return []
         spans: list[tuple[str, int, int]] = []
         last = dict.fromkeys((*BASE, *ADDED), 0)
-        skip_ip = skip_iban = 0
+        skip_ip = skip_iban = skip_account = 0
         for at, (kind, size) in self.anchors.iter(_folded(text)):
             begin = at - size + 1
             if kind == "0":
@@ -133,10 +134,14 @@ class Finder:
                         spans.append(("url", begin, end))
                         last["url"] = end
             elif begin >= last["account"] and not (begin and _ASCII_WORD.match(text, begin - 1)) and (m := _VALUE.match(text, at + 1)):
-                end = m.start(1) + len(m[1].rstrip(".=-/+"))
-                if end - m.start(1) >= 4 and any(c.isdigit() for c in m[1]):
-                    spans.append(("account", m.start(1), end))
-                    last["account"] = end
+                if m.end() >= skip_account:
+                    value = _RUN.match(text, m.end())
+                    end = m.end() + len(value[0].rstrip(".=-/+"))
+                    if end - m.end() >= 4 and any(c.isdigit() for c in value[0]):
+                        spans.append(("account", m.end(), end))
+                        last["account"] = end
+                    else:  # what starts later in the same run is no value either
+                        skip_account = value.end()
         held = [s for s in spans if s[0] == "iban"]
         spans = [s for s in spans if s[0] != "account" or not any(s[1] < h[2] and h[1] < s[2] for h in held)]
         order = {k: i for i, k in enumerate((*BASE, *ADDED))}

@@ -421,6 +421,10 @@ def test_added_spans(spark, empty):
     said = lambda t: {(k, t[a:b]) for k, a, b in find(t)}
     assert ("url", "https://x.org/a?b=1") in said("go to https://x.org/a?b=1.") and ("iban", "GB82 WEST 1234 5698 7654 32") in said("GB82 WEST 1234 5698 7654 32 is it")
     assert ("account", "00123456") in said("Account no: 00123456 please") and ("account", "abc123XYZ") in said('api_key = "abc123XYZ"')
+    long = "eyJ" + "aB3_-." * 500 + "z9"
+    assert ("account", long) in said(f"bearer: {long} and more") and ("account", "abc123") in said("token=password: abc123")
+    assert find("token=" * 50_000) == []  # linear, as a run of no digits is read once
+    assert [r.text for r in pii.redacted(documents(spark, [(1, f"token={long}, kept", "s")])).collect()] == ["token=<account>, kept"]
     assert said("the token of thanks, account of 1999 people") == set() and said("GB82 WEST 1234 5698 7654 33") == set()
     rows = [(1, "a@b.co and 10.0.0.1", "s"), (2, None, "s"), (3, "", "s"), (1, "a@b.co and 10.0.0.1", "s")]
     got = pii.summary(pii.spans_of(documents(spark, rows))).collect()
