@@ -5,7 +5,11 @@ nothing about it: it renders the conversation's prefixes one turn longer each ti
 consecutive outputs. If the shorter one is a prefix of the longer one, the rest is the new turn's
 span; if not, the template rewrites history and the conversation is flagged (its spans are then taken from the
 last render alone, by the longest common prefix). Where in its span a turn's text lies is found by rendering
-the turn with two probe texts: what both outputs share before and after is the turn's frame.
+each turn with two probe texts: what both outputs and the span share before and after is the turn's frame.
+
+A template is taken to look back fewer than ``WINDOW`` turns: from there on its prefixes are rendered without
+their early turns, so one that rewrites history only in some longer prefix, and not in the whole
+render, is not flagged; one whose marks depend on the number of all turns is flagged.
 
 ``render`` is the template of the query: each turn is ``<|im_start|>role\\ntext<|im_end|>\\n``, and a
 bar is put after each ``<|`` inside a text, which ``unescape`` takes out again, so no text can
@@ -87,14 +91,14 @@ class Formatter:
 
     def __init__(self, template: Template, window: int = WINDOW):
         self.template, self.window = template, window
-        self.frames: dict[tuple, tuple[int, int]] = {}
 
-    def frame(self, context: list[Turn], role: str) -> tuple[int, int]:
-        """Characters before and after the text in the span of a turn of ``role`` after ``context``."""
-        before = len(self.template(context)) if context else 0
+    def frame(self, context: list[Turn], role: str, before: int, span: str) -> tuple[int, int]:
+        """Characters before and after the text in ``span``, that of a turn of ``role`` after ``context``,
+        whose output has ``before`` characters."""
         a, b = (self.template([*context, (role, p)])[before:] for p in _PROBES)
-        head = _common(a, b)
-        return head, _common(a[head:][::-1], b[head:][::-1])
+        head = min(_common(a, b), _common(a, span))
+        tail = min(_common(a[head:][::-1], b[head:][::-1]), _common(a[head:][::-1], span[head:][::-1]))
+        return head, tail
 
     def __call__(self, turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]], bool]:
         """(output, (begin, end, text_begin, text_end) of each turn, whether history is rewritten)."""
@@ -108,11 +112,8 @@ class Formatter:
             if not after.startswith(shown):
                 rewrites = True
                 break
-            key = (turns[i][0], turns[i - 1][0] if i else None, i == 0)
             span = after[len(shown) :]
-            frame = self.frames.get(key)
-            if frame is None or len(span) < sum(frame):
-                frame = self.frames[key] = self.frame(context, turns[i][0])
+            frame = self.frame(context, turns[i][0], len(shown), span)
             at = spans[-1][1] if spans else 0
             spans.append((at, at + len(span), at + frame[0], at + len(span) - frame[1]))
             parts.append(span)

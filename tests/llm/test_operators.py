@@ -382,6 +382,16 @@ def test_templates_that_rewrite_history():
     assert not rewrites and [out[x:y] for _, _, x, y in spans] == ["hi", "yo"]
 
 
+def test_frames_that_vary_from_turn_to_turn():
+    numbered = lambda turns: "".join(f"Turn {i}: {t}{'!' * (i % 3)}\n" for i, (_, t) in enumerate(turns))
+    tools = lambda turns: "".join(f"[{'tool ' if t.startswith('{') else ''}{r}] {t}\n" for r, t in turns)
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(25)]
+    out, spans, rewrites = chat.Formatter(numbered)(turns)
+    assert not rewrites and [out[x:y] for _, _, x, y in spans] == [t for _, t in turns]
+    out, spans, _ = chat.Formatter(tools)([("user", "hi"), ("user", "{1}"), ("user", "bye")])
+    assert [out[b:x] for b, _, x, _ in spans][::2] == ["[user] "] * 2 and all(t in out[x:y] for t, (_, _, x, y) in zip(["hi", "{1}", "bye"], spans))
+
+
 def test_chat_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, None, None), (2, None, "system", "first"), (3, 0, "user", "x"), (3, 0, "user", "x"), (None, 0, "assistant", "n"), (4, 0, "assistant", "y" * 100_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit(0))
