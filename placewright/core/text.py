@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from functools import lru_cache
+from itertools import product
 
 import regex
 
@@ -206,10 +207,11 @@ def normalize_string(text: str | None, options: int = STRING_DEFAULT, languages:
 
 
 def normalize_string_languages(text: str, options: int, languages: tuple[str, ...] = (), transliterate_: bool = True) -> list[str]:
-    """All normal forms: per script the product of its transliterators' outputs, Latin forms first."""
+    """All normal forms: per script the product of its transliterators' outputs, Latin forms first. There
+    is no cap: their number grows as a power of the number of spans with several outputs."""
     if text.isascii():
         return [normalize_string(text, options & ~LATIN_ASCII if "&" not in text else options, languages) or ""]
-    forms = [""]
+    spans = []
     for script, span, ascii_ in script_spans(text):
         choices = [span]
         if not ascii_ and script == "Latin":
@@ -223,9 +225,9 @@ def normalize_string_languages(text: str, options: int, languages: tuple[str, ..
             for n in own or SCRIPT_TRANSLITERATORS.get((script, ""), []):
                 out = TRANSLITERATORS[n](span)
                 choices.append(latin_ascii(out) if options & LATIN_ASCII else out)
-        forms = [f + c for f in forms for c in dict.fromkeys(choices)][:100]
+        spans.append(list(dict.fromkeys(choices)))
     rest = options & ~LATIN_ASCII
-    return list(dict.fromkeys(normalize_string(f, rest, languages) or "" for f in forms))
+    return list(dict.fromkeys(normalize_string("".join(f), rest, languages) or "" for f in product(*spans)))
 
 
 _POSSESSIVE = regex.compile(r"(?:'s|s')\Z", regex.I)

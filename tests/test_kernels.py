@@ -55,6 +55,8 @@ def test_string_normalisation():
     assert text.normalize_string("a-b", text.REPLACE_HYPHENS) == "a b"
     assert text.normalize_string("Twenty-one Elm", text.LOWERCASE | text.REPLACE_NUMEX, ("en",)) == "21 elm"
     assert "goethestrasse" in text.normalize_string_languages("Goethestraße", text.STRING_DEFAULT, ("de",))
+    mixed = text.normalize_string_languages("да και " * 4, text.STRING_DEFAULT)  # eight spans of two forms each
+    assert len(mixed) == 256 and {"да και да και да και да και", "da kai da kai da kai da kai"} <= set(mixed)
     assert text.transliterate("no such thing", "x") is None
     assert text.transliterate("russian-latin-bgn", "Москва") == "Moskva"
     assert text.transliterate("hiragana-latin", "きょうと") == "kyouto"
