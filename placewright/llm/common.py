@@ -53,8 +53,11 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
-    def close(self) -> None:
-        self._delete(self.base)
+    def tidy(self, *tables: DataFrame) -> None:
+        """Delete ``tables``, and let the driver's JVM collect its garbage, upon which Spark deletes
+        the shuffle files of queries that are over (as spark.cleaner.periodicGC.interval does)."""
+        self.drop(*tables)
+        self.spark._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,6 +70,17 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` is called so, for joins to a caller's table."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text):
     """Lower-case A-Z only, all other code points as they are."""
     return F.translate(text, UPPER, LOWER)

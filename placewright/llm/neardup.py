@@ -1,20 +1,22 @@
 """Near-duplicates of documents: bottom-k sketches from one hash function.
 
 1. Each document becomes its set of 5-word shingles under one 64-bit hash function; the smallest
-   ``K`` values are its sketch. Documents with equal sets (a 128-bit digest) form a class, and only
-   classes go on, so exact copies never meet pairwise.
+   ``K`` values are its sketch. Documents with equal sets (a 128-bit digest) form a class with a
+   number of its own, and only classes go on, so exact copies never meet pairwise.
 2. The sketches' values make inverted lists. Two sets at the threshold share at least ``need`` of
    their values (see below), so under one order of all values, rarest first, they share one among
    the first ``K - need + 1``: only these make lists, which keeps passages that many documents
    share out of them.
 3. Lists give overlaps. First, each list's smallest member meets the others (a star), which links
    most groups of copies; then only members that are still in another component than the list's
-   main one meet the list. Pairs are filtered by the estimate from their union's sketch and
-   verified on the full sets.
-4. Links become components by alternating large-star and small-star rounds, all as tables.
+   main one meet the list. Pairs whose sizes alone rule out the threshold are left out at once.
+4. Pairs meet in rooms: the members of a neighbourhood, in blocks of ``ROOM`` values by a hash, so
+   a set moves once per room and not once per pair. A room streams its pairs past its sets: the
+   estimate from the union's sketch filters them, the full sets verify them.
+5. Links become components by alternating large-star and small-star rounds, all as tables.
 
-Sketch overlaps below ``SLACK`` = 0.45 of ``K`` = 64 have a probability under 1e-12 for a pair at
-a similarity of 0.85 (op6) and under 1e-9 at 0.8 (the pipeline), so no link is lost but for that; there is no cap on lists, partners or rounds.
+Sketch overlaps below ``SLACK`` = 0.5 of ``K`` = 64 have a probability under 1e-11 for a pair at
+a similarity of 0.85 (op6) and under 2e-8 at 0.8 (the pipeline), so no link is lost but for that; there is no cap on lists, partners or rounds.
 
 Defined cases: null or wordless text has an empty set and no links; fewer words than ``width``
 are one shingle; a document's identity is its row: rows with one doc_id and different texts are
@@ -33,10 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import BoundedCache, Scratch, small
+from .common import BoundedCache, Scratch, small, unused
 
-WIDTH, K, SLACK, THRESHOLD = 5, 64, 0.45, 85
+WIDTH, K, SLACK, THRESHOLD = 5, 64, 0.5, 85
 MAX_ROWS = 500_000
+#: Hashes of a room's block (two blocks meet in a room), and the most bits of a filter of ids.
+ROOM, BITS = 1 << 20, 1 << 26
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -89,52 +93,96 @@ def _sketches(width: int, k: int):
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+class Marks:
+    """A Bloom filter of document ids: an array of bits, of a size bounded by ``BITS``."""
 
-        shingles = Shingler(width)
+    def __init__(self, bits: int, words: np.ndarray | None = None):
+        self.bits, self.words = bits, np.zeros(bits // 64, np.uint64) if words is None else words
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        h = ids.astype(np.int64).view(np.uint64)
+        for shift, factor in ((31, _M[5]), (29, _M[6])):
+            h = (h ^ (h >> np.uint64(shift))) * factor
+        h ^= h >> np.uint64(32)
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return np.stack([(h + np.uint64(i) * step) & np.uint64(self.bits - 1) for i in range(4)])
+
+    def add(self, ids: np.ndarray) -> None:
+        at = self.places(ids).ravel()
+        np.bitwise_or.at(self.words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+
+    def may_hold(self, ids: np.ndarray) -> np.ndarray:
+        at = self.places(ids)
+        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+
+
+def _marks_of(ids: DataFrame) -> Marks:
+    """The filter of a column of ids that are not null; each task sends its own bits, never ids."""
+    bits = min(BITS, 1 << max(12, (16 * ids.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(bits)
         for batch in batches:
-            sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["key", "hashes"])
+            marks.add(batch.column(0).to_numpy())
+        at = np.flatnonzero(marks.words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(marks.words[at].view(np.int64))], names=["at", "word"])
 
-    return run
+    rows = ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows["at"].to_numpy()] = rows["word"].to_numpy().view(np.uint64)
+    return Marks(bits, words)
 
 
-def _verify(threshold: int):
+def _sets(width: int, held):
+    """(key, hashes) of the texts whose id may be in the broadcast filter, or is null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        shingles, marks = Shingler(width), held.value
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = np.concatenate((a, b))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= threshold * (len(a) + len(b) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            ids = batch.column("doc_id")
+            may = marks.may_hold(ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+            sets = [shingles(t).tobytes() for t in batch.column("text").filter(pa.array(may)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["key", "hashes"])
 
     return run
 
 
-def _estimates(k: int, slack: float):
-    """Of pairs with sketches, those whose estimate from the union's bottom-k reaches ``slack``."""
+def _alike(x: np.ndarray, y: np.ndarray, threshold: int, k: int, slack: float) -> bool:
+    """Whether two sets reach the threshold: first by the estimate from the bottom-k of their
+    union, which the smallest ``k`` of each give, then by the sets themselves."""
+    if len(x) > k or len(y) > k:
+        both = np.concatenate((x[:k], y[:k]))
+        both.sort(kind="stable")
+        twice = both[1:] == both[:-1]
+        first = np.concatenate(([True], ~twice))
+        size = min(k, int(first.sum()))
+        if int((twice & (both[1:] <= both[first][size - 1])).sum()) < slack * size:
+            return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= threshold * (len(both) - common)
+
+
+def _meetings(threshold: int, k: int, slack: float):
+    """The links among rows sorted by room, its sets (with ``hashes``) before its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room, sets = None, {}
         for batch in batches:
-            keep = []
-            flat = [(c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("ka"), batch.column("kb"))]
-            for i in range(batch.num_rows):
-                a, b = (v[o[i] : o[i + 1]] for v, o in flat)
-                both = np.concatenate((a, b))
-                both.sort(kind="stable")
-                twice = both[1:] == both[:-1]
-                first = np.concatenate(([True], ~twice))
-                size = min(k, int(first.sum()))
-                last = both[first][size - 1]
-                keep.append(int((twice & (both[1:] <= last)).sum()) >= slack * size)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            links: tuple[list[int], list[int]] = [], []
+            hashes = batch.column("hashes")
+            for i, (here, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("room", "a", "b")), strict=True)):
+                if here != room:
+                    room, sets = here, {}
+                if b is None:
+                    sets[a] = np.frombuffer(hashes[i].as_buffer(), np.uint64).copy()
+                elif _alike(sets[a], sets[b], threshold, k, slack):
+                    links[0].append(a)
+                    links[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
 
     return run
 
@@ -166,16 +214,37 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _lists(classes: DataFrame, k: int, slack: float, scratch: Scratch) -> DataFrame:
-    """(value, key): the inverted lists of the values that can witness a link, rarest first."""
-    flat = classes.select("key", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
-    df = scratch.write(flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "df")
-    shared = flat.join(df, "value")
-    per = W.partitionBy("key")
-    rank = F.row_number().over(per.orderBy("df", "value")) + F.col("s") - F.count("*").over(per)  # unshared values come first
-    prefix = F.col("s") - F.greatest(F.floor(F.col("s") * slack), F.lit(1)) + 1
-    witness = scratch.write(shared.withColumn("rank", rank).where(F.col("rank") <= prefix).select("value", "key"), "witness")
-    met = witness.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    return scratch.write(witness.join(met, "value"), "lists")
+    """(value, cid, n): the inverted lists of the values that can witness a link, rarest first."""
+    flat = classes.select("cid", F.explode("sketch").alias("value"))
+    df = scratch.write(flat.groupBy("value").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "df")
+    scratch.tidy()
+    shared = flat.join(df, "value").groupBy("cid").agg(F.collect_list(F.struct("df", "value")).alias("v"))  # at most k of a class
+    s = F.least("n", F.lit(k))
+    prefix = s - F.greatest(F.floor(s * slack), F.lit(1)) + 1
+    alone = s - F.size("v")  # unshared values come first
+    head = F.slice(F.array_sort("v"), F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
+    sizes = classes.select("cid", "n")
+    witness = scratch.write(shared.join(sizes, "cid").select("cid", "n", F.explode(head).alias("v")).select("cid", "n", "v.value"), "witness")
+    met = witness.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
+    lists = scratch.write(witness.join(met, "value"), "lists")
+    scratch.tidy(df, witness)
+    return lists
+
+
+def _verified(pairs: DataFrame, full: DataFrame, threshold: int, k: int, slack: float, scratch: Scratch, name: str) -> DataFrame:
+    """Links among the distinct pairs (a, b) with their sizes na, nb and neighbourhood ``near``."""
+    seats = pairs.select("near", F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("na").alias("n")), F.struct(F.col("b").alias("cid"), F.col("nb").alias("n")))).alias("x")).select("near", "x.*").distinct()
+    blocks = seats.groupBy("near").agg(F.ceil(F.sum("n") / ROOM).alias("blocks")).where("blocks > 1")
+    split = pairs.join(small(scratch.write(blocks, name + "-blocks"), MAX_ROWS), "near", "left")
+    x, y = (F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1))) for c in "ab")
+    room = F.xxhash64("near", F.least(x, y), F.greatest(x, y))  # rooms that share a number are one larger room
+    met = scratch.write(split.select(room.alias("room"), "a", "b"), name + "-pairs")
+    places = scratch.write(met.select("room", F.explode(F.array("a", "b")).alias("cid")).distinct(), name + "-places")
+    sets = full.join(small(places, MAX_ROWS), "cid").select("room", F.col("cid").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    rows = sets.unionByName(met.select("room", "a", "b", F.lit(None).cast("binary").alias("hashes"))).repartition("room").sortWithinPartitions("room", F.col("b").isNotNull())
+    links = scratch.write(rows.mapInArrow(_meetings(threshold, k, slack), "a long, b long"), name)
+    scratch.tidy(met, places)
+    return links
 
 
 def linked(documents: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, k: int = K, slack: float = SLACK) -> DataFrame:
@@ -184,57 +253,67 @@ def linked(documents: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
 
 
 def _linked(documents: DataFrame, width: int, threshold: int, k: int, slack: float, roots: bool) -> DataFrame:
-    """``linked``; with ``roots`` also the component's key, which tells components with one smallest id apart."""
+    """``linked``; with ``roots`` also a number per component, which tells components with one smallest id apart."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "neardup")
-    texts = documents.select("doc_id", "text")
-    rows = scratch.write(texts.mapInArrow(_sketches(width, k), "doc_id long, n long, key binary, sketch array<long>"), "rows")
-    classes = scratch.write(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"), F.any_value("n").alias("n")), "classes")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketched = scratch.write(texts.mapInArrow(_sketches(width, k), "doc_id long, n long, key binary, sketch array<long>"), "sketched")
+    rows = scratch.write(sketched.select("doc_id", "n", "key"), "rows")
+    classes = sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"), F.any_value("n").alias("n"))
+    classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    scratch.tidy(sketched)
     lists = _lists(classes, k, slack, scratch)
-
-    wanted = scratch.write(classes.join(lists.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("wid")), "wanted")
-    by_id = small(wanted.select("wid").distinct(), MAX_ROWS)
-    chosen = texts.join(by_id, texts.doc_id.eqNullSafe(F.col("wid")), "left_semi").where("text is not null")
-    full = chosen.mapInArrow(_sets(width), "key binary, hashes binary").join(small(wanted.select("key"), MAX_ROWS), "key", "left_semi")
-    full = scratch.write(full.groupBy("key").agg(F.any_value("hashes").alias("hashes")), "sets")
-    brief = classes.select("key", "sketch")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among (a, b), by estimate and then by the full sets."""
-        left, right = (brief.select(F.col("key").alias(x), F.col("sketch").alias("k" + x)) for x in "ab")
-        likely = pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "kb").mapInArrow(_estimates(k, slack), "a binary, b binary")
-        likely = scratch.write(likely, name + "-likely")
-        left, right = (full.select(F.col("key").alias(x), F.col("hashes").alias("s" + x)) for x in "ab")
-        return scratch.write(likely.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(threshold), "a binary, b binary"), name)
-
-    heads = lists.groupBy("value").agg(F.min("key").alias("a"))
-    star = verified(lists.join(heads, "value").where("a < key").select("a", F.col("key").alias("b")).distinct(), "star")
-    roots = components(star, scratch)
-
-    labelled = lists.join(roots, lists["key"] == roots.node, "left").select("value", "key", F.coalesce("root", "key").alias("root"))
-    split = labelled.groupBy("value", "root").agg(F.count("*").alias("n"))
-    main = split.groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("value", "main")
-    open_ = scratch.write(labelled.join(main, "value").select("value", "key", "root", "main"), "open")
-    one = open_.where("root <> main").select("value", F.col("key").alias("x"), F.col("root").alias("rx"))
-    two = open_.select("value", F.col("key").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
-    meet = one.join(two, "value").where("rx <> ry and (in_main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = verified(scratch.write(meet.join(star, ["a", "b"], "left_anti"), "meet"), "rest")
+    least = F.min("cid").alias("low")
+    heads = scratch.write(lists.groupBy("value").agg(least), "heads")
+    near = scratch.write(lists.join(heads, "value").groupBy("cid").agg(F.min("low").alias("near")), "near")  # one name for most of a neighbourhood
+
+    brief = classes.drop("sketch")
+    wanted = scratch.write(brief.join(near.select("cid"), "cid", "left_semi").select("key", "cid", "doc_id"), "wanted")
+    marks = spark.sparkContext.broadcast(_marks_of(wanted.where("doc_id is not null").select("doc_id")))
+    full = texts.where("text is not null").mapInArrow(_sets(width, marks), "key binary, hashes binary").join(small(wanted.select("key", "cid"), MAX_ROWS), "key")
+    full = scratch.write(full.groupBy("cid").agg(F.any_value("hashes").alias("hashes")), "sets")
+    scratch.tidy(wanted)
+
+    fits = F.lit(100) * F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
+    sized = brief.select(F.col("cid").alias("low"), F.col("n").alias("na"))
+    star = lists.join(heads, "value").where("low < cid").select("low", "cid", "n").distinct().join(sized, "low")
+    star = star.select(F.col("low").alias("a"), F.col("cid").alias("b"), "na", F.col("n").alias("nb"), F.col("low").alias("near")).where(fits)
+    asked = scratch.write(star, "star-asked")
+    star = _verified(asked, full, threshold, k, slack, scratch, "star")
+    rooted = components(star, scratch)
+
+    labelled = lists.join(rooted, lists["cid"] == rooted.node, "left").join(near, "cid").select("value", "cid", "n", "near", F.coalesce("root", "cid").alias("root"))
+    labelled = scratch.write(labelled, "labelled")
+    split = labelled.groupBy("value", "root").agg(F.count("*").alias("m"))
+    main = split.groupBy("value").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("value", "main")
+    open_ = scratch.write(labelled.join(main, "value"), "open")
+    one = open_.where("root <> main").select("value", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("near").alias("hx"))
+    two = open_.select("value", F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("near").alias("hy"), (F.col("root") == F.col("main")).alias("in_main"))
+    swap = F.col("x") > F.col("y")
+    meet = one.join(two, "value").where("rx <> ry and (in_main or x < y)").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"),
+        F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb"), F.least("hx", "hy").alias("near"),
+    ).where(fits).distinct()
+    rest = scratch.write(meet.join(asked.select("a", "b"), ["a", "b"], "left_anti"), "meet")
+    scratch.tidy(lists, heads, near, asked, labelled, open_)
+    rest = _verified(rest, full, threshold, k, slack, scratch, "rest")
+    scratch.tidy(full)
     nodes = components(star.unionByName(rest), scratch)
 
-    ids = classes.join(nodes, classes["key"] == nodes.node).select("key", "root", "doc_id").unionByName(
-        classes.join(nodes.select(F.col("root").alias("key")).distinct(), "key").select("key", F.col("key").alias("root"), "doc_id")
-    )
+    members = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
+    ids = scratch.write(brief.join(members, brief.cid == members.node).select("key", "root", "doc_id"), "ids")
     smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked_ = ids.join(smallest, "root").select("key", "component_id", "root")
-    root = [F.coalesce("root", "key").alias("root")] if roots else []
-    final = scratch.write(classes.join(linked_, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"), *root).where("component_id is not null"), "final")
-    out = rows.select("doc_id", "n", "key").join(final, "key", "left").select("doc_id", "n", "key", F.coalesce("component_id", "doc_id").alias("component_id"), *root)
+    joined = ids.join(smallest, "root").select("key", "component_id", "root")
+    root = [F.coalesce("root", "cid").alias("root")] if roots else []
+    final = brief.join(joined, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"), *root)
+    final = scratch.write(final, "final")
+    out = rows.join(final, "key", "left").select("doc_id", "n", "key", F.coalesce("component_id", "doc_id").alias("component_id"), *(["root"] if roots else []))
     out = scratch.write(out, "out")
-    scratch.drop(rows, classes, lists, full, open_, final)
+    scratch.tidy(rows, classes, final, ids)
     return out
 
 
-def _keyed(width: int):
+def _keyed(width: int, name: str):
     """Rows with the digest of their shingle set, null if it is empty, as another column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +323,7 @@ def _keyed(width: int):
         for batch in batches:
             sets = (shingles(t) for t in batch.column("text").to_pylist())
             keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, name])
 
     return run
 
@@ -255,28 +334,29 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, threshold: int = THRE
     Of several rows with that id, repeated or near copies of each other, one stays; rows without a
     set or an id all stay. Rows whose id has several texts are judged by id and set.
     """
+    names = documents.columns
+    d, k, own = unused(documents, "id", "set", "own")
     found = _linked(documents, width, threshold, K, SLACK, True)
-    twice = small(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id"), MAX_ROWS)
+    several = small(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), MAX_ROWS)
     key = F.coalesce("key", F.lit(b""))
-    mixed = found.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(key).alias("__a"), F.max(key).alias("__b")).where("__a <> __b").select(F.col("doc_id").alias("__d"))
+    mixed = found.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select(F.col("doc_id").alias(d))
     mixed = small(mixed, MAX_ROWS)
-    names, several = documents.columns, not mixed.isEmpty()
-    plain, rest = found, documents
-    if several:
-        plain = found.join(mixed, found.doc_id == F.col("__d"), "left_anti")
-        rest = documents.join(mixed, documents.doc_id == F.col("__d"), "left_anti")
-    gone = plain.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct()
-    again = plain.where("doc_id = component_id and key is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__d"))
+    plain, rest, reused = found, documents, not mixed.isEmpty()
+    if reused:
+        plain = found.join(mixed, found.doc_id == F.col(d), "left_anti")
+        rest = documents.join(mixed, documents.doc_id == F.col(d), "left_anti")
+    gone = plain.where("doc_id <> component_id").select(F.col("doc_id").alias(d)).distinct()
+    again = plain.where("doc_id = component_id and key is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias(d))
     gone, again = small(gone, MAX_ROWS), small(again, MAX_ROWS)
-    once = rest.join(gone, rest.doc_id == F.col("__d"), "left_anti")
+    once = rest.join(gone, rest.doc_id == F.col(d), "left_anti")
     if not again.isEmpty():
-        repeated = once.join(again, once.doc_id == F.col("__d"), "left_semi").dropDuplicates(["doc_id"])
-        once = once.join(again, once.doc_id == F.col("__d"), "left_anti").select(names).unionByName(repeated.select(names))
-    if not several:
+        repeated = once.join(again, once.doc_id == F.col(d), "left_semi").dropDuplicates(["doc_id"])
+        once = once.join(again, once.doc_id == F.col(d), "left_anti").unionByName(repeated)
+    if not reused:
         return once
-    heads = found.join(mixed, found.doc_id == F.col("__d"), "left_semi").where("doc_id = component_id and key is not null")
-    heads = heads.groupBy("root", "doc_id").agg(F.min("key").alias("__k")).select(F.col("doc_id").alias("__d"), "__k")
-    rows = documents.join(mixed, documents.doc_id == F.col("__d"), "left_semi")
-    rows = rows.mapInArrow(_keyed(width), StructType([*documents.schema.fields, StructField("__key", BinaryType())]))
-    kept = rows.join(heads, (rows.doc_id == F.col("__d")) & (F.col("__key") == F.col("__k")), "left_semi").dropDuplicates(["doc_id", "__key"])
-    return once.select(names).unionByName(kept.select(names)).unionByName(rows.where("__key is null").select(names))
+    heads = found.join(mixed, found.doc_id == F.col(d), "left_semi").where("doc_id = component_id and key is not null")
+    heads = heads.groupBy("root", "doc_id").agg(F.min("key").alias(k)).select(F.col("doc_id").alias(d), k)
+    rows = documents.join(mixed, documents.doc_id == F.col(d), "left_semi")
+    rows = rows.mapInArrow(_keyed(width, own), StructType([*documents.schema.fields, StructField(own, BinaryType())]))
+    kept = rows.join(heads, (rows.doc_id == F.col(d)) & (F.col(own) == F.col(k)), "left_semi").dropDuplicates(["doc_id", own])
+    return once.unionByName(kept.select(*names)).unionByName(rows.where(F.col(own).isNull()).select(*names))
