@@ -7,9 +7,10 @@ span; if not, the template rewrites history and the conversation is flagged (its
 last render alone, by the longest common prefix). Where in its span a turn's text lies is found by rendering
 each turn with two probe texts: what both outputs and the span share before and after is the turn's frame.
 
-A template is taken to look back fewer than ``WINDOW`` turns: from there on its prefixes are rendered without
-their early turns, so one that rewrites history only in some longer prefix, and not in the whole
-render, is not flagged; one whose marks depend on the number of all turns is flagged.
+Every prefix is rendered whole, however many turns it has. For a template that is known to look back
+fewer than some number of turns, as the query's own, a caller may state that as ``window``: longer prefixes are
+then rendered without their early turns, which takes time in proportion to the conversation. The sum is held
+against one whole render, and where they differ, the whole prefixes are rendered after all.
 
 ``render`` is the template of the query: each turn is ``<|im_start|>role\\ntext<|im_end|>\\n``, and a
 bar is put after each ``<|`` inside a text, which ``unescape`` takes out again, so no text can
@@ -29,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Longest prefix that is rendered again for each turn; beyond it a window of the last turns is
-#: rendered, and one render of the whole conversation confirms the sum of the spans.
+#: The query's template renders a turn by itself, so this many turns are more than it looks back.
 WINDOW = 64
 SCHEMA = "conv_id long, n_turns long, formatted string, spans array<struct<role:string,begin:long,end:long,text_begin:long,text_end:long>>, rewrites boolean"
 Turn = tuple[str, str]
@@ -89,7 +89,7 @@ _PROBES = ("⁂a⁃", "⁄bb⁅")
 class Formatter:
     """Formats conversations with a black-box template, and locates every turn and its text."""
 
-    def __init__(self, template: Template, window: int = WINDOW):
+    def __init__(self, template: Template, window: int | None = None):
         self.template, self.window = template, window
 
     def frame(self, context: list[Turn], role: str, before: int, span: str) -> tuple[int, int]:
@@ -102,26 +102,32 @@ class Formatter:
 
     def __call__(self, turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]], bool]:
         """(output, (begin, end, text_begin, text_end) of each turn, whether history is rewritten)."""
-        spans, parts, shown, rewrites = [], [], "", False
+        if self.window and len(turns) > self.window:
+            found = self._incremental(turns, self.window)
+            if found and self.template(turns) == found[0]:
+                return (*found, False)
+        found = self._incremental(turns, len(turns))
+        return (*found, False) if found else (*self._rewritten(turns), True)
+
+    def _incremental(self, turns: list[Turn], window: int) -> tuple[str, list[tuple[int, int, int, int]]] | None:
+        """(output, spans) by consecutive prefixes, of which the last ``window`` turns are rendered; None if one
+        is not continued by the next."""
+        spans, parts, shown = [], [], ""
         for i in range(len(turns)):
-            base = max(0, i + 1 - self.window)
+            base = max(0, i + 1 - window)
             context = turns[base:i]
             if base:  # a sliding window; what it starts with is not part of any span
                 shown = self.template(context)
             after = self.template(turns[base : i + 1])
             if not after.startswith(shown):
-                rewrites = True
-                break
+                return None
             span = after[len(shown) :]
             frame = self.frame(context, turns[i][0], len(shown), span)
             at = spans[-1][1] if spans else 0
             spans.append((at, at + len(span), at + frame[0], at + len(span) - frame[1]))
             parts.append(span)
             shown = after
-        output = "".join(parts)
-        if not rewrites and (len(turns) <= self.window or self.template(turns) == output):
-            return output, spans, False
-        return (*self._rewritten(turns), True)
+        return "".join(parts), spans
 
     def _rewritten(self, turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]]]:
         """Each turn of the final output: where it stops following a render without this turn."""
@@ -136,16 +142,19 @@ class Formatter:
         return output, spans
 
 
-def formatted(conversations: DataFrame, template: Template = render, window: int = WINDOW) -> DataFrame:
+def formatted(conversations: DataFrame, template: Template = render, window: int | None = None) -> DataFrame:
     """Per conversation: conv_id, n_turns, formatted, spans (offsets in code points), rewrites.
 
-    Rows are spread by conv_id and sorted within tasks, so a task holds one conversation at a time.
+    Rows are spread by conv_id and sorted within tasks, so a task holds one conversation at a time. The
+    template ``render`` needs no ``window``: ``WINDOW`` is used for it.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     span = pa.struct([("role", pa.string()), *((n, pa.int64()) for n in ("begin", "end", "text_begin", "text_end"))])
     types = (pa.int64(), pa.int64(), pa.string(), pa.list_(span), pa.bool_())
 
+    window = WINDOW if window is None and template is render else window
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Formatter(template, window)
         out: list[tuple] = []
