@@ -7,8 +7,8 @@ of the whole compressed share, which tells degenerate repetition; a logistic cal
 these, fitted on labelled rows that built no dictionary, makes the score.
 
 Labels are learnt only from rows outside the held-out fold: crc32(doc_id as text) mod 5 is not 0.
-The sample is bounded by ``MAX_LABELS`` labelled rows (the first by a hash of doc_id, so it is the
-same on each run) and ``SAMPLE_BYTES`` of each text from a hashed offset; everything labelled is
+The sample is bounded by ``MAX_LABELS`` labelled rows (the first by a hash of doc_id, then by label and
+text, so it is the same on each run), whose whole texts are learnt from; everything labelled is
 scored like the rest, whole.
 
 Defined cases: null and empty texts get the score of zero evidence; labels with a null quality or
@@ -27,8 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 PIECE, DICT_BYTES, LEVEL = 1024, 112_640, 3
-MAX_LABELS, SAMPLE_BYTES = 16_000, 4_096
+MAX_LABELS = 8_000
 CUT = 0.3
 FOLDS = 5
 
@@ -118,12 +120,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     # half of the bound for each label, so that a rare one is learnt as well
     known = known.where("quality = 0").orderBy(order, "quality").limit(max_labels // 2).unionByName(known.where("quality = 1").orderBy(order, "quality").limit(max_labels // 2))
-    size = F.length("text")
-    begin = F.when(size > SAMPLE_BYTES, F.pmod(order, size - SAMPLE_BYTES)).otherwise(0) + 1
-    part = F.substring(F.col("text"), begin.cast("int"), F.lit(SAMPLE_BYTES))
-    rows = documents.where("text is not null and text <> ''").join(F.broadcast(known), "doc_id").select("doc_id", "quality", part.alias("part"))
-    rows = rows.limit(4 * max_labels).toPandas()  # more only if doc_ids repeat
-    rows = rows.sort_values(["doc_id", "quality", "part"], kind="stable")
+    rows = documents.select("doc_id", "text").where("text is not null and text <> ''").join(F.broadcast(known), "doc_id")
+    rows = rows.orderBy(order, "quality", "text").limit(max_labels).toPandas()  # doc_ids may repeat
+    rows = rows.sort_values(["doc_id", "quality", "text"], kind="stable")[["doc_id", "quality", "text"]]
     data = [(zlib.crc32(f"half{i}".encode()) % 2, int(q), p.encode("utf-8", "surrogatepass")) for i, q, p in rows.itertuples(index=False)]
     sides = [[t for h, q, t in data if h == 0 and q == k] for k in (0, 1)]
     y = np.array([q for h, q, _ in data if h == 1], float)
@@ -141,8 +140,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -
     return Model(good, bad, (*centre.tolist(), *scale.tolist()), tuple(w.tolist()))
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``__score``, by one narrow pass."""
+def score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``documents`` with another column ``name``, by one narrow pass."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -151,15 +150,16 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for part in parts:
             yield pd.Series([one(t) for t in part], dtype="float64")
 
-    return documents.withColumn("__score", scored(F.col("text")))
+    return documents.withColumn(name, scored(F.col("text")))
 
 
 def classified(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document row: doc_id, held_out, score, predicted."""
     scored = score(documents.select("doc_id", "text"), fit(documents, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def filtered(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """``documents`` without the rows whose score is below ``cut``."""
-    return score(documents, fit(documents, labels)).where(F.col("__score") >= cut).drop("__score")
+    (name,) = unused(documents, "score")
+    return score(documents, fit(documents, labels), name).where(F.col(name) >= cut).drop(name)
