@@ -8,8 +8,8 @@ segment tree over the capacities: leaf c holds the number of rows that have exac
 the smallest sufficient capacity is one descent.
 
 A packed row has ``length`` ids (the rest is the end token), the cumulative lengths of its segments, the
-position of each token within its piece's document, and per segment the document and the offset
-of its first token in that document. Reading the segments of a document in order of offset gives
+position of each token within its segment (it restarts at 0), and per segment the document and the
+offset of its first token in that document. Reading the segments of a document in order of offset gives
 its ids back. Tasks depend on their input alone, so a task that is run again writes the same rows.
 
 Defined cases: null and empty texts have no tokens and no segment, so no row names them; a null
@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 TOKENIZER = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH = 2048
@@ -53,8 +55,8 @@ class Tokenizer:
 
         import tiktoken
 
-        if max(ranks.values()) > 0xFFFF:
-            raise ValueError("16-bit ids are too small for this vocabulary")
+        if max(ranks.values()) >= 0xFFFF:  # the end token has the next id
+            raise ValueError("16-bit ids are too small for this vocabulary and its end token")
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.heads, self.tails, self.limit = {"": b""}, {}, memo
         self.rare = re.compile(r"[^\S \n]").search
@@ -163,16 +165,16 @@ def best_fit_decreasing(lengths: list[int], length: int) -> list[list[int]]:
 
 def _packed(docs: list[tuple[int | None, np.ndarray]], length: int, end: int):
     """Rows of one buffer, as (n, ids, positions, cumulative lengths, doc_ids, offsets)."""
-    pieces = [(d, at, ids[at : at + length]) for d, ids in docs for at in range(0, len(ids), length)]
-    for row in best_fit_decreasing([len(p[2]) for p in pieces], length):
+    parts = [(d, at, ids[at : at + length]) for d, ids in docs for at in range(0, len(ids), length)]
+    for row in best_fit_decreasing([len(p[2]) for p in parts], length):
         ids, positions = np.full(length, end, "<u2"), np.zeros(length, "<u4")
         ends = [0]
         for i in row:
-            piece = pieces[i][2]
+            piece = parts[i][2]
             ids[ends[-1] : ends[-1] + len(piece)] = piece
             positions[ends[-1] : ends[-1] + len(piece)] = np.arange(len(piece))
             ends.append(ends[-1] + len(piece))
-        yield ends[-1], ids.tobytes(), positions.tobytes(), ends, [pieces[i][0] for i in row], [pieces[i][1] for i in row]
+        yield ends[-1], ids.tobytes(), positions.tobytes(), ends, [parts[i][0] for i in row], [parts[i][1] for i in row]
 
 
 def packed(documents: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, buffer: int = BUFFER) -> DataFrame:
@@ -197,15 +199,13 @@ def packed(documents: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZE
                 count += len(some)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 64):
-                for d, b in zip(ids[at : at + 64], encode.batch(texts[at : at + 64]), strict=True):
-                    if b:
-                        docs.append((d, np.frombuffer(b, "<u2")))
-                        tokens += len(b) // 2
-                if tokens >= buffer:
-                    yield from flush()
+        for batch in pieces(batches, 64):
+            for d, b in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text").to_pylist()), strict=True):
+                if b:
+                    docs.append((d, np.frombuffer(b, "<u2")))
+                    tokens += len(b) // 2
+            if tokens >= buffer:
+                yield from flush()
         if docs:
             yield from flush()
 
