@@ -45,13 +45,33 @@ def _matrix(vectors: list, dims: int | None = None) -> np.ndarray:
         return np.clip(np.floor(SCALE * out), -1e300, 1e300)
 
 
+def _top(a: np.ndarray, b: np.ndarray) -> float:
+    return float(a.max(initial=0.0)) * float(b.max(initial=0.0))
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T exactly; floats hold it while sums stay below 2**53."""
-    top = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * max(a.shape[1], 1)
-    if top < 2**53:
+    """a @ b.T exactly. Floats hold it while sums stay below 2**53; rows with larger numbers are
+    multiplied apart, as 64-bit integers or as integers of any size, so an outlier slows itself alone."""
+    dims = float(max(a.shape[1], 1))
+    ta, tb = (np.abs(x).max(1, initial=0.0) for x in (a, b))
+    if _top(ta, tb) * dims < 2**53:
         return (a @ b.T).astype(np.int64)
-    exact = [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in b] for p in a]
-    return np.array([[max(min(x, 2**63 - 1), -(2**63)) for x in row] for row in exact], dtype=np.int64).reshape(len(a), len(b))
+    out = np.zeros((len(a), len(b)), np.int64)
+    tame = [t <= (2**53 / dims) ** 0.5 / 2 for t in (ta, tb)]
+    for i, j in ((x, y) for x in (True, False) for y in (True, False)):
+        p, q = np.flatnonzero(tame[0] == i), np.flatnonzero(tame[1] == j)
+        if not len(p) or not len(q):
+            continue
+        top = _top(ta[p], tb[q]) * dims
+        if top < 2**53:
+            part = a[p] @ b[q].T
+        elif top < 2**62:
+            part = a[p].astype(np.int64) @ b[q].T.astype(np.int64)
+        else:
+            exact = np.array([[int(v) for v in row] for row in a[p]], object) @ np.array([[int(v) for v in row] for row in b[q]], object).T
+            part = np.clip(exact, -(2**63), 2**63 - 1)
+        out[np.ix_(p, q)] = part.astype(np.int64)
+    return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
