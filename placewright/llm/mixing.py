@@ -11,9 +11,10 @@ A source whose target exceeds its size is repeated whole as often as it fits, an
 chosen by the threshold. The document at the boundary is taken whole if that brings the sum nearer
 to the budget.
 
-Defined cases: null text has size 0; a null source is a source of its own, last in order; rows
-that are equal in doc_id and text share one hash, so they are taken together; an empty table gives
-an empty result; extra columns are ignored.
+Defined cases: null text has size 0; a null source is a source of its own, last in order; rows that are
+equal in doc_id and text share one hash: if they lie at the boundary, a second threshold over row
+numbers of a written table takes as many of them as the budget needs, and which of such equal rows
+is taken shows in no column of ``mix``; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, small
+from .common import Scratch, small, unused
 
 BITS, LEVEL = 60, 10
 MAX_SOURCES = 100_000
@@ -91,7 +92,9 @@ def targets(sources: DataFrame, cap: int = CAP) -> DataFrame:
 
 def thresholds(sizes: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFrame:
     """(skey, budget, limit): the hash up to which a source's documents are taken so that their sizes sum
-    to nearest ``budget``; ``budgets``: (skey, budget), only budgets above 0 get a row.
+    to nearest ``budget``; ``budgets``: (skey, budget), only budgets above 0 get a row. Where several rows
+    have the hash at the boundary, ``limit`` lies before it, ``edge`` is that hash and ``rest`` what the
+    budget still needs of them.
 
     Budgets may be nested: a larger budget's limit is never smaller.
     """
@@ -101,13 +104,17 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFr
         shift = BITS - LEVEL * (level + 1)
         bucket = F.shiftright("h", shift)
         inside = sizes.join(small(state, MAX_SOURCES), "skey").where(F.shiftright("h", shift + LEVEL) == F.col("prefix"))
-        hist = inside.groupBy("skey", "budget", "base", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        hist = inside.groupBy("skey", "budget", "base", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("rows"))
         upto = F.col("base") + F.sum("size").over(W.partitionBy("skey", "budget").orderBy("bucket"))
         # the first bucket that reaches the budget, else the last one
         reach = F.row_number().over(W.partitionBy("skey", "budget").orderBy((F.col("upto") < F.col("budget")).cast("int"), F.when(F.col("upto") < F.col("budget"), -F.col("bucket")).otherwise(F.col("bucket"))))
         edge = scratch.write(hist.withColumn("upto", upto).withColumn("reach", reach).where("reach = 1"), f"level{level}")
         near = (F.col("upto") - F.col("budget")) <= (F.col("budget") - F.col("upto") + F.col("size"))
-        ready = edge.where("lo = hi").select("skey", "budget", F.when(near, F.col("lo")).otherwise(F.col("lo") - 1).alias("limit"))
+        alone = F.col("rows") == 1
+        ready = edge.where("lo = hi").select(
+            "skey", "budget", F.when(alone & near, F.col("lo")).otherwise(F.col("lo") - 1).alias("limit"),
+            F.when(~alone, F.col("lo")).alias("edge"), F.when(~alone, F.col("budget") - F.col("upto") + F.col("size")).alias("rest"),
+        )
         done = ready if done is None else done.unionByName(ready)
         state = edge.where("lo < hi").select("skey", "budget", F.col("bucket").alias("prefix"), (F.col("upto") - F.col("size")).alias("base"))
         if state.isEmpty():
@@ -115,32 +122,65 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFr
     return done
 
 
-def plan_of(documents: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
-    """(sizes, plan): the documents' sizes, and per source skey, source_size, target, whole, limit."""
-    scratch = Scratch(documents.sparkSession, "mixing")
-    sizes = scratch.write(sizes_of(documents), "sizes")
+def split_edges(rows: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
+    """``plan`` with ``row_limit``, the threshold over the hashed row numbers of equal rows at the boundary.
+
+    ``rows``: (skey, h, size, row) of a written table, whose row numbers stay as they are.
+    """
+    edges = small(plan.where("edge is not null").select(F.col("skey"), "edge", "rest"), MAX_SOURCES)
+    if edges.isEmpty():
+        return plan.withColumn("row_limit", F.lit(-1).cast("long"))
+    inside = rows.join(edges, "skey").where(F.col("h") == F.col("edge")).select("skey", "size", row_hash().alias("h"))
+    limits = thresholds(inside, edges.select("skey", F.col("rest").alias("budget")), scratch)
+    return plan.join(limits.select("skey", F.col("limit").alias("row_limit")), "skey", "left").fillna(-1, ["row_limit"])
+
+
+def row_hash() -> Column:
+    return hash60(F.col("row"), F.lit(""))
+
+
+def plan_of(documents: DataFrame, weights: tuple[int, ...], cap: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(sizes, plan): the documents' sizes, and per source skey, source_size, target, whole, limit, edge, rest."""
+    sizes = scratch.write(sizes_of(documents).withColumn("row", F.monotonically_increasing_id()), "sizes")
     sums = scratch.write(sizes.groupBy("skey").agg(F.sum("size").alias("source_size")), "sources")
     cycle = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     sources = scratch.write(ranked(sums, scratch).withColumn("weight", cycle.cast("long")), "ranked")
     fits = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = scratch.write(targets(sources, cap).withColumn("whole", F.least(fits, F.lit(cap))), "targets")
     limits = thresholds(sizes, goals.select("skey", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")), scratch)
-    plan = goals.join(limits, "skey", "left").select("skey", "source_size", "target", "whole", F.coalesce("limit", F.lit(-1)).alias("limit"))
+    plan = goals.join(limits, "skey", "left").select("skey", "source_size", "target", "whole", F.coalesce("limit", F.lit(-1)).alias("limit"), "edge", "rest")
     return sizes, scratch.write(plan, "plan")
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """Per document row: doc_id, size, source_size, target, copies (how often the mix takes it)."""
-    sizes, plan = plan_of(documents, weights, cap)
-    copies = F.col("whole") + F.when(F.col("h") <= F.col("limit"), 1).otherwise(0)
+    scratch = Scratch(documents.sparkSession, "mixing")
+    sizes, plan = plan_of(documents, weights, cap, scratch)
+    plan = split_edges(sizes, plan, scratch)
+    chosen = (F.col("h") <= F.col("limit")) | ((F.col("h") == F.col("edge")) & (row_hash() <= F.col("row_limit")))
+    copies = F.col("whole") + F.when(chosen, 1).otherwise(0)
     return sizes.join(small(plan, MAX_SOURCES), "skey").select("doc_id", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``documents``, each row as often as the mix takes it; only the plan by source is joined."""
-    _, plan = plan_of(documents, weights, cap)
-    plan = plan.select(F.col("skey").alias("__skey"), F.col("whole").alias("__whole"), F.col("limit").alias("__limit"))
-    rows = documents.join(small(plan, MAX_SOURCES), source_key(documents.source) == F.col("__skey"))
-    copies = F.col("__whole") + F.when(hash60(documents.doc_id, documents.text) <= F.col("__limit"), 1).otherwise(0)
-    names = [F.col(c) for c in documents.columns]
-    return rows.withColumn("__n", copies).where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*names)
+    scratch = Scratch(documents.sparkSession, "mixing")
+    sizes, plan = plan_of(documents, weights, cap, scratch)
+    scratch.drop(sizes)
+    names = documents.columns
+    key, whole, limit, edge, n = unused(documents, "plan_source", "plan_whole", "plan_limit", "plan_edge", "plan_copies")
+    terms = small(plan.select(F.col("skey").alias(key), F.col("whole").alias(whole), F.col("limit").alias(limit), F.col("edge").alias(edge)), MAX_SOURCES)
+    h = hash60(documents.doc_id, documents.text)
+    rows = documents.join(terms, source_key(documents.source) == F.col(key))
+    copies = F.col(whole) + F.when(h <= F.col(limit), 1).otherwise(0)
+
+    def repeated(rows: DataFrame, copies: Column) -> DataFrame:
+        return rows.withColumn(n, copies).where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*names)
+
+    if plan.where("edge is not null").isEmpty():
+        return repeated(rows, copies)
+    at_edge = F.coalesce(h == F.col(edge), F.lit(False))
+    held = scratch.write(rows.where(at_edge).select(F.struct(*names).alias("doc"), F.col(key).alias("skey"), F.col(whole).alias("whole"), F.col(edge).alias("h"), word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "edges")
+    limits = small(split_edges(held, plan, scratch).select("skey", "row_limit"), MAX_SOURCES)
+    more = held.join(limits, "skey").select("doc.*", F.col("whole").alias(whole), (row_hash() <= F.col("row_limit")).alias(limit))
+    return repeated(rows.where(~at_edge), copies).unionByName(repeated(more, F.col(whole) + F.when(F.col(limit), 1).otherwise(0)))
