@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, UPPER, Scratch, small
+from .common import LOWER, UPPER, Scratch, small, unused
 
 WIDTH = 10
 #: Code points that end a word, all but the space (which the translation maps them to).
@@ -158,5 +158,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``documents`` without the rows in which a window of the benchmark occurs."""
-    hit = contamination(documents, benchmark, width).where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    return documents.join(small(hit, MAX_DOCS), documents.doc_id.eqNullSafe(F.col("__d")) & (F.xxhash64(documents.text) == F.col("__h")), "left_anti")
+    d, h = unused(documents, "hit_id", "hit_hash")
+    hit = contamination(documents, benchmark, width).where("n_hit > 0").select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
+    return documents.join(small(hit, MAX_DOCS), documents.doc_id.eqNullSafe(F.col(d)) & (F.xxhash64(documents.text) == F.col(h)), "left_anti")
