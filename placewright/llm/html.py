@@ -2,15 +2,16 @@
 
 Pages of one host share a wrapper. Each page's tree is aligned with the host's reference page (the
 one with the smallest id) by simple tree matching: equal roots, and the best ordered matching of
-their children, recursively. Over all pages of the host, a reference node whose text is the same
-on most pages is template; nodes that vary are slots. Pages that are copies of each other count
+their children, down to the leaves. Over all pages of the host, a reference node whose text is the same
+on most pages (``SAME``) is template; nodes that vary are slots. Pages that are copies of each other count
 once, so a group of copies doesn't turn its article into template.
 
 The main text is what remains of a page without its template nodes and without slots that are
 marked as something else: menus, headers and footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments, told by element, role, class and id. A page that names its article
-(``article``, ``main`` or such a role or class) is read there, and inside it nothing is taken for
-template, since texts of one host may well share passages.
+styles and reader comments, told by element, role, class and id. That a page names its article
+(``article``, ``main`` or such a role or class) is one more sign: the page is read there, a node in it is
+template only if nearly all pages have it (``SAME_INSIDE``), since texts of one host may well share passages,
+and it is marked as something else only by its element, its role or a whole class or id, not by a part of one.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one space. Nothing else is dropped.
@@ -18,13 +19,15 @@ joined in page order by one space. Nothing else is dropped.
 Defined cases: null or empty html gives an empty text; unclosed, stray and misnested tags are
 repaired as browsers do, near enough; a page whose url has no host forms a host of its own kind
 (the empty one); a host of fewer than ``LEAST`` different pages has no template; repeated rows
-are answered each. Sibling lists of any length are matched in memory linear in their length.
+are answered each. Sibling lists of any length are matched in memory linear in their length, and
+trees of any depth are walked without recursion.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, pieces, small
 
-LEAST, SAME = 4, 0.6
+LEAST, SAME, SAME_INSIDE = 4, 0.6, 0.9
 MAX_HOSTS = 2_000  # of one reference page each
 _TOKEN = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))[^>\"']*)*)(?:>|\Z)|/[^>a-zA-Z][^>]*(?:>|\Z))", re.S)
 _HINT = re.compile(r"""(?:^|[\s/"'])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -54,39 +57,52 @@ _IMPLIED = {
 }
 _IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _IMPLIED.items()}
 _P_SCOPE = frozenset("html body article aside section main div td th li blockquote form fieldset header footer nav button object table".split())
-_DROP = frozenset("script style noscript template nav footer aside form iframe svg canvas button select textarea menu dialog head object audio video math search datalist title noembed noframes".split())
+_DROP = frozenset("script style noscript template nav footer aside form iframe svg canvas button select textarea menu dialog head object audio video search datalist title noembed noframes".split())
 _DROP_ROLE = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert form menu menubar toolbar tablist note".split())
 _DROP_WORD = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social comment comments commentlist disqus respond "
     "related recommended recommendations widget toolbar pagination pager copyright disclaimer login form".split()
 )
+#: Whole classes and ids that tell what isn't main text even inside an article.
+_DROP_WHOLE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense ad-slot sponsored promo banner sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie-notice "
+    "cookie-banner notice notices newsletter newsletter-signup share share-buttons social-share social-links comment comments comment-list comment-section commentlist comments-area disqus "
+    "disqus_thread respond related related-posts related-articles recommended pagination pager".split()
+)
 _BESIDE_WORD = frozenset("related recommended recommendations sidebar teaser teasers".split())
 _NOT_BESIDE = frozenset("has with no without".split())  # words of a class such as has-sidebar
 _MAIN_WORD = frozenset("article articlebody maincontent content post entry story main".split())
 
 
 class Node:
-    """A block of the page; ``kids`` are nodes and strings of raw inline text."""
+    """A block of the page; ``kids`` are nodes and strings of raw inline text, ``holds`` tells whether
+    a node below it is surely main text."""
 
-    __slots__ = ("tag", "sig", "kids", "drop", "main", "beside")
+    __slots__ = ("tag", "sig", "kids", "drop", "main", "beside", "holds", "parent")
 
-    def __init__(self, tag: str, sig: str, drop: int, main: int, beside: bool = False):
+    def __init__(self, tag: str, sig: str, drop: int, main: int, beside: bool = False, parent: "Node | None" = None):
         self.tag, self.sig, self.kids, self.drop, self.main, self.beside = tag, sig, [], drop, main, beside
+        self.holds, self.parent = False, parent
+        if main == 2:
+            while parent is not None and not parent.holds:
+                parent.holds = True
+                parent = parent.parent
 
 
 def _hints(attrs: str) -> tuple[str, int, int, bool]:
-    """(signature, drop, main, beside) of an element's attributes; drop 2 is unconditional, beside marks
-    teasers and what stands beside the article."""
+    """(signature, drop, main, beside) of an element's attributes; drop 3 is unconditional, 2 holds
+    inside an article too, 1 (a word in a class or id) outside only; beside marks teasers and what
+    stands beside the article."""
     sig, drop, main, beside = "", 0, 0, False
     for m in _HINT.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            drop = 2
+            drop = 3
         elif name == "role":
             role = value.strip().lower()
             if role in _DROP_ROLE:
-                drop = max(drop, 1)
+                drop = max(drop, 2)
                 beside = beside or role in ("complementary", "navigation")
             elif role in ("main", "article"):
                 main = 2
@@ -98,7 +114,9 @@ def _hints(attrs: str) -> tuple[str, int, int, bool]:
             if name == "class":
                 sig = value
             beside = beside or any(not _BESIDE_WORD.isdisjoint(w) and _NOT_BESIDE.isdisjoint(w) for w in ([x.lower() for x in _WORDS.findall(name)] for name in value.split()))
-            if not _DROP_WORD.isdisjoint(words):
+            if not _DROP_WHOLE.isdisjoint(value.lower().split()):
+                drop = max(drop, 2)
+            elif not _DROP_WORD.isdisjoint(words):
                 drop = max(drop, 1)
             elif not _MAIN_WORD.isdisjoint(words):
                 main = max(main, 1)
@@ -111,6 +129,13 @@ def parse(page: str) -> Node:
     """The block tree of a page."""
     root = Node("#root", "", 0, 0)
     stack: list[tuple[str, Node]] = [("#root", root)]  # inline elements are on it with the block they are in
+    opened: Counter[str] = Counter()  # tags on the stack, so that it is searched for none that isn't there
+
+    def close(i: int) -> None:
+        for t, _ in stack[i:]:
+            opened[t] -= 1
+        del stack[i:]
+
     memo: dict[str, tuple[str, int, int, bool]] = {}
     at, top = 0, root
     search = _TOKEN.search
@@ -128,9 +153,9 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     top = stack[-1][1]
                     break
                 if tag not in _BLOCK and stack[i][0] in _BLOCK:
@@ -143,27 +168,27 @@ def parse(page: str) -> Node:
         attrs = m[3]
         block = tag in _BLOCK
         if block:
-            if tag in _ENDS_P:
+            if opened["p"] and tag in _ENDS_P:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in _P_SCOPE:
                         break
             if tag in _IMPLIED:
                 closes, scope = _IMPLIED[tag]
                 cut = 0
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in closes) else ():
                     if stack[i][0] in scope:
                         break
                     if stack[i][0] in closes:
                         cut = i
                 if cut:
-                    del stack[cut:]
+                    close(cut)
             top = stack[-1][1]
         sig, drop, main, beside = memo.get(attrs) or memo.setdefault(attrs, _hints(attrs)) if attrs else ("", 0, 0, False)
         if tag in _DROP:
-            drop = max(drop, 1)
+            drop = max(drop, 2)
         elif tag == "header":
             drop = drop or -1
         elif tag in ("article", "main"):
@@ -174,40 +199,45 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
             continue
         if block or drop > 0 or main == 2:
-            node = Node(tag, f"{tag}.{sig}", drop, main, beside or tag in ("aside", "nav"))
+            node = Node(tag, f"{tag}.{sig}", drop, main, beside or tag in ("aside", "nav"), top)
             top.kids.append(node)
             top = node
         if not attrs.endswith("/") or block:
             stack.append((tag, top))
+            opened[tag] += 1
         elif top is not stack[-1][1]:
             top = stack[-1][1]
 
 
-def _has_main(node: Node) -> bool:
-    return any(k.main == 2 or _has_main(k) for k in node.kids if type(k) is Node)
-
-
 def _dropped(node: Node, inside: bool) -> bool:
     """Whether a node is marked as other than main text; ``inside``: in a named article."""
     if node.drop <= 0:
-        return node.drop < 0 and not inside and not _has_main(node)
-    return node.drop == 2 or node.main != 2 and (node.tag in _DROP or node.tag not in ("html", "body")) and not _has_main(node)
+        return node.drop < 0 and not inside and not node.holds
+    if node.drop == 3:
+        return True
+    return (node.drop == 2 or not inside) and node.main != 2 and (node.tag in _DROP or node.tag not in ("html", "body")) and not node.holds
 
 
 def _pieces(node: Node, inside: bool, template: frozenset, out: list[str]) -> None:
     text: list[str] = []
-    for k in node.kids:
-        if type(k) is str:
-            text.append(k)
-        elif id(k) not in template and not _dropped(k, inside):
+    stack = [iter(node.kids)]
+    while stack:
+        for k in stack[-1]:
+            if type(k) is str:
+                text.append(k)
+            elif id(k) not in template and not _dropped(k, inside):
+                if text:
+                    out.append("".join(text))
+                    text = []
+                stack.append(iter(k.kids))
+                break
+            elif k.tag in _BLOCK:
+                text.append(" ")
+        else:
+            stack.pop()
             if text:
                 out.append("".join(text))
                 text = []
-            _pieces(k, inside, template, out)
-        elif k.tag in _BLOCK:
-            text.append(" ")
-    if text:
-        out.append("".join(text))
 
 
 def _said(pieces: list[str]) -> str:
@@ -220,15 +250,18 @@ def text_of(node: Node, inside: bool = False, template: frozenset = frozenset())
     return _said(out)
 
 
-def _named(node: Node, level: int, out: list[tuple[Node, bool]], beside: bool = False) -> list[tuple[Node, bool]]:
+def _named(node: Node, level: int) -> list[tuple[Node, bool]]:
     """The outermost nodes that are marked as main text at ``level``, outside dropped ones; each with
     whether it is marked as a teaser or in a block that stands beside the article."""
-    for k in node.kids:
-        if type(k) is Node and not _dropped(k, False):
+    out: list[tuple[Node, bool]] = []
+    todo: list[tuple[Node, bool]] = [(k, False) for k in reversed(node.kids) if type(k) is Node]
+    while todo:
+        k, beside = todo.pop()
+        if not _dropped(k, False):
             if k.main >= level:
                 out.append((k, beside or k.beside))
             else:
-                _named(k, level, out, beside or k.beside)
+                todo += [(x, beside or k.beside) for x in reversed(k.kids) if type(x) is Node]
     return out
 
 
@@ -236,9 +269,9 @@ def articles(root: Node) -> list[Node]:
     """The nodes that the page names as its article; of several, those marked as teasers of other
     articles, themselves or by a block they are in, are left out, unless all with text are. Size plays no part."""
     for level in (2, 1):
-        found = _named(root, level, [])
+        found = _named(root, level)
         if len(found) == 1 and found[0][0].tag == "main":
-            inner = [n for n, _ in _named(found[0][0], 2, [])]
+            inner = [n for n, _ in _named(found[0][0], 2)]
             if len(inner) == 1 and 2 * len(text_of(inner[0], True)) >= len(text_of(found[0][0], True)):
                 return inner
         if found:
@@ -247,36 +280,37 @@ def articles(root: Node) -> list[Node]:
     return []
 
 
-def outline(root: Node) -> tuple:
-    """(sig, text hash or None, kids, id) of a page for matching. Articles and leaves are single
-    nodes; nodes that are left out anyway don't take part."""
-    whole = {id(n) for n in articles(root)}
-
-    def walk(node: Node) -> tuple:
-        if id(node) in whole:
-            return (node.sig, None, (), id(node))
-        kids = [k for k in node.kids if type(k) is Node and not _dropped(k, False)]
-        if not kids:
-            return (node.sig, _hash(node), (), id(node))
-        return (node.sig, None, tuple(map(walk, kids)), id(node))
-
-    return walk(root)
+def outline(root: Node, named: list[Node]) -> list[tuple]:
+    """(sig, text hash or None, places of its children, id, inside) of a page's nodes for matching, in page
+    order; leaves have a hash, ``inside`` tells those in a ``named`` article. Nodes that are left out anyway don't take part."""
+    whole = {id(n) for n in named}
+    out: list[tuple] = []
+    todo: list[tuple[Node, bool, list[int]]] = [(root, False, [])]
+    while todo:
+        node, inside, at = todo.pop()
+        inside = inside or id(node) in whole
+        at.append(len(out))
+        kids = [k for k in node.kids if type(k) is Node and not _dropped(k, inside)]
+        places: list[int] = []
+        out.append((node.sig, None if kids else _hash(node), places, id(node), inside))
+        todo += [(k, inside, places) for k in reversed(kids)]
+    return out
 
 
 def _hash(node: Node) -> int:
     import xxhash
 
     parts: list[str] = []
-
-    def walk(n: Node) -> None:
-        for k in n.kids:
-            if type(k) is str:
-                parts.append(k)
-            else:
-                walk(k)
-                parts.append(" ")
-
-    walk(node)
+    stack = [iter(node.kids)]
+    while stack:
+        for k in stack[-1]:
+            if type(k) is not str:
+                stack.append(iter(k.kids))
+                break
+            parts.append(k)
+        else:
+            stack.pop()
+            parts.append(" ")
     return xxhash.xxh3_64_intdigest(_said(parts).encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFFF
 
 
@@ -312,33 +346,42 @@ def _ordered(row, lo: int, hi: int, left: int, right: int) -> list[tuple[int, in
     return out
 
 
-def match(a: tuple, b: tuple) -> list[tuple[tuple, tuple]]:
+def match(a: list[tuple], b: list[tuple]) -> list[tuple[tuple, tuple]]:
     """Simple tree matching: the pairs of nodes of a largest ordered matching of two outlines; of
     several largest ones, among siblings one with the most equal nodes."""
     shapes: dict[tuple, int] = {}  # of a node without its texts, on which the size of a matching depends
     wholes: dict[tuple, int] = {}
     kinds: list[tuple] = []
-    known: tuple[dict, dict] = {}, {}  # of each outline, node id to shape and whole
-
-    def learn(t: tuple, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
-        kids = [learn(k, known) for k in t[2]]
-        shape = (t[0], tuple(k[0] for k in kids))
-        if shape not in shapes:
-            shapes[shape] = len(kinds)
-            kinds.append(shape)
-        whole = wholes.setdefault((t[0], t[1], tuple(k[1] for k in kids)), len(wholes))
-        known[t[3]] = shapes[shape], whole
-        return known[t[3]]
+
+    def learn(tree: list[tuple]) -> list[tuple[int, int]]:
+        """Of each node its shape and its whole, from the last node to the first."""
+        known: list[tuple[int, int]] = [(0, 0)] * len(tree)
+        for i in range(len(tree) - 1, -1, -1):
+            sig, text, kids = tree[i][:3]
+            shape = (sig, tuple(known[k][0] for k in kids))
+            if shape not in shapes:
+                shapes[shape] = len(kinds)
+                kinds.append(shape)
+            known[i] = shapes[shape], wholes.setdefault((sig, text, tuple(known[k][1] for k in kids)), len(wholes))
+        return known
 
     memo: dict[tuple[int, int], int] = {}
 
     def weigh(x: int, y: int) -> int:
-        """Size of a largest matching of two shapes."""
+        """Size of a largest matching of two shapes; the pairs it depends on are weighed first."""
         if kinds[x][0] != kinds[y][0]:
             return 0
-        if (x, y) not in memo:
-            xs, ys = kinds[x][1], kinds[y][1]
-            memo[x, y] = 1 + (int(_scores(map(table(ys), xs), len(ys))[-1]) if xs and ys else 0)
+        todo = [(x, y)]
+        while (x, y) not in memo:
+            u, v = todo[-1]
+            xs, ys = kinds[u][1], kinds[v][1]
+            open_ = [(p, q) for p in set(xs) for q in set(ys) if kinds[p][0] == kinds[q][0] and (p, q) not in memo]
+            if open_ and (u, v) not in memo:
+                todo += open_
+                continue
+            if (u, v) not in memo:
+                memo[u, v] = 1 + (int(_scores(map(table(ys), xs), len(ys))[-1]) if xs and ys else 0)
+            todo.pop()
         return memo[x, y]
 
     def table(ys: tuple[int, ...]):
@@ -353,9 +396,11 @@ def match(a: tuple, b: tuple) -> list[tuple[tuple, tuple]]:
 
         return row
 
-    def kids_of(x: tuple, y: tuple) -> list[tuple[tuple, tuple]]:
-        xs, ys = x[2], y[2]
-        (sx, wx), (sy, wy) = ([[of[k[3]][i] for k in kids] for i in (0, 1)] for kids, of in zip((xs, ys), known))
+    known = learn(a), learn(b)
+
+    def kids_of(x: int, y: int) -> list[tuple[int, int]]:
+        xs, ys = a[x][2], b[y][2]
+        (sx, wx), (sy, wy) = ([[of[k][i] for k in kids] for i in (0, 1)] for kids, of in zip((xs, ys), known))
         n, m, head = len(xs), len(ys), 0
         while head < min(n, m) and wx[head] == wy[head]:  # equal nodes at both ends are in some best matching
             head += 1
@@ -367,62 +412,48 @@ def match(a: tuple, b: tuple) -> list[tuple[tuple, tuple]]:
             pairs += [(i, head + j) for i, j in _ordered(lambda i: (weights(sx[i]) << 32) + (equal == wx[i]), head, n, 0, m - head)]
         return [(xs[i], ys[j]) for i, j in pairs]
 
-    for tree, of in zip((a, b), known):
-        learn(tree, of)
-    pairs, todo = [], [(a, b)]
+    pairs, todo = [], [(0, 0)]
     while todo:
         x, y = todo.pop()
-        if x[0] == y[0]:
-            pairs.append((x, y))
+        if a[x][0] == b[y][0]:
+            pairs.append((a[x], b[y]))
             todo += kids_of(x, y)
     return pairs
 
 
-def _slots(tree: tuple) -> dict[int, int]:
-    """Node id to slot number, in page order."""
-    order: dict[int, int] = {}
-
-    def walk(t: tuple) -> None:
-        order[t[3]] = len(order)
-        for k in t[2]:
-            walk(k)
-
-    walk(tree)
-    return order
-
-
 class Aligner:
     """Aligns pages with their host's reference page; the last few references are kept parsed."""
 
     def __init__(self):
-        self.kept: dict[str, tuple[tuple, dict[int, int], Node]] = {}
+        self.kept: dict[str, tuple[list[tuple], dict[int, int], Node]] = {}
 
-    def reference(self, page: str) -> tuple[tuple, dict[int, int], Node]:
+    def reference(self, page: str) -> tuple[list[tuple], dict[int, int], Node]:
         if page not in self.kept:
             if len(self.kept) >= 32:
                 self.kept.clear()
             root = parse(page)
-            tree = outline(root)
-            self.kept[page] = (tree, _slots(tree), root)  # the tree holds ids, so its nodes stay
+            tree = outline(root, articles(root))
+            self.kept[page] = (tree, {t[3]: i for i, t in enumerate(tree)}, root)  # the tree holds ids, so its nodes stay
         return self.kept[page]
 
-    def __call__(self, root: Node, reference: str) -> list[tuple[int, int, int]]:
-        """(slot, text hash, node id) of the page's matched leaves."""
+    def __call__(self, root: Node, named: list[Node], reference: str) -> list[tuple[int, int, int, bool]]:
+        """(slot, text hash, node id, inside) of the page's matched leaves."""
         ref, slots, _ = self.reference(reference)
-        return [(slots[y[3]], x[1], x[3]) for x, y in match(outline(root), ref) if x[1] is not None]
+        return [(slots[y[3]], x[1], x[3], x[4]) for x, y in match(outline(root, named), ref) if x[1] is not None]
 
 
 def main_text(page: str | None, constants: dict[tuple[int, int], bool] | None = None, reference: str | None = None, align: Aligner | None = None) -> str:
-    """The main text of a page; ``constants``: (slot, text hash) of its host's template."""
+    """The main text of a page; ``constants``: (slot, text hash) of its host's template, and whether
+    that holds inside an article too."""
     if not page:
         return ""
     root = parse(page)
     found = articles(root)
-    if found:
-        return _said([text_of(n, True) for n in found]) if len(found) > 1 else text_of(found[0], True)
     template: frozenset = frozenset()
     if constants and reference:
-        template = frozenset(i for slot, h, i in align(root, reference) if (slot, h) in constants)
+        template = frozenset(i for slot, h, i, inside in align(root, found, reference) if (known := constants.get((slot, h))) is not None and (known or not inside))
+    if found:
+        return _said([text_of(n, True, template) for n in found]) if len(found) > 1 else text_of(found[0], True, template)
     return text_of(root, False, template)
 
 
@@ -446,16 +477,17 @@ def induce(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         import xxhash
 
         align = Aligner()
-        for batch in batches:
+        for batch in pieces(batches, 256):
             hosts, copies, slots = [], [], []
             for host, page, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "ref")), strict=True):
                 root = parse(page)
                 body: list[str] = []
-                for n in articles(root) or [root]:
+                named = articles(root)
+                for n in named or [root]:
                     _pieces(n, n is not root, frozenset(), body)
                 hosts.append(host)
                 copies.append(xxhash.xxh3_64_intdigest("".join(body).encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFFF)
-                slots.append([{"slot": s, "hash": h} for s, h, _ in align(root, reference)])
+                slots.append([{"slot": s, "hash": h} for s, h, _, _ in align(root, named, reference)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(copies, pa.int64()), pa.array(slots, pa.list_(pa.struct([("slot", pa.int32()), ("hash", pa.int64())])))],
                 names=["host", "copy", "slots"],
@@ -466,6 +498,7 @@ def induce(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     total = seen.groupBy("host").agg(F.count("*").alias("pages"))
     count = seen.select("host", F.explode("slots").alias("s")).groupBy("host", "s").agg(F.count("*").alias("n"))
     fixed = count.join(total, "host").where(f"pages >= {LEAST} and n >= {SAME} * pages")
+    fixed = fixed.select("host", F.struct("s.slot", "s.hash", (F.col("n") >= SAME_INSIDE * F.col("pages")).alias("inside")).alias("s"))
     return ref, scratch.write(fixed.groupBy("host").agg(F.collect_set("s").alias("constants")), "templates")
 
 
@@ -484,10 +517,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = Aligner()
-        for batch in batches:
+        for batch in pieces(batches, 256):
             texts = []
             for page, reference, constants in zip(*(batch.column(c).to_pylist() for c in ("html", "ref", "constants")), strict=True):
-                texts.append(main_text(page, {(c["slot"], c["hash"]): True for c in constants} if constants else None, reference, align))
+                texts.append(main_text(page, {(c["slot"], c["hash"]): c["inside"] for c in constants} if constants else None, reference, align))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "ref", "constants").mapInArrow(run, "page_id long, url string, text string")

@@ -510,6 +510,6 @@ def test_ordered_matching_is_heaviest():
 
 
 def test_tree_matching():
-    a = html.outline(html.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))
-    b = html.outline(html.parse("<div><h2>t</h2><p>1</p><ul><li>x</li></ul><p>3</p></div>"))
+    a = html.outline(html.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"), [])
+    b = html.outline(html.parse("<div><h2>t</h2><p>1</p><ul><li>x</li></ul><p>3</p></div>"), [])
     assert [x[0] for x, _ in sorted(html.match(a, b), key=lambda p: p[0][0])] == ["", "div.", "li.", "p.", "p.", "ul."]
