@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Written intermediate tables: each cuts the lineage, survives a lost executor, and is
-    deleted as soon as its last reader has been written."""
+    deleted as soon as its last reader has been written. What a result still reads goes when the
+    driver's process ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self._end)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` under the scratch folder and return the written table."""
@@ -59,6 +64,12 @@ class Scratch:
         self.drop(*tables)
         self.spark._jvm.System.gc()
 
+    def _end(self) -> None:
+        if self.base.startswith("file:"):  # the JVM may be gone by now
+            shutil.rmtree(self.base.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        elif self.spark.sparkContext._jsc is not None:
+            self._delete(self.base)
+
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -81,6 +92,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that few texts are held as Python strings at once; at the end of a task
+    the worker, which is used again, gives freed memory back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def ascii_lower(text):
     """Lower-case A-Z only, all other code points as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -10,8 +10,8 @@
 3. Lists give overlaps. First, each list's smallest member meets the others (a star), which links
    most groups of copies; then only members that are still in another component than the list's
    main one meet the list. Pairs whose sizes alone rule out the threshold are left out at once.
-4. Pairs meet in rooms: the members of a neighbourhood, in blocks of ``ROOM`` values by a hash, so
-   a set moves once per room and not once per pair. A room streams its pairs past its sets: the
+4. Pairs meet in rooms: the members of a neighbourhood, in blocks of ``ROOM`` values by a hash, and in more
+   blocks where their pairs are many, so a set moves once per room and not once per pair. A room streams its pairs past its sets: the
    estimate from the union's sketch filters them, the full sets verify them.
 5. Links become components by alternating large-star and small-star rounds, all as tables.
 
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import BoundedCache, Scratch, small, unused
+from .common import BoundedCache, Scratch, pieces, small, unused
 
 WIDTH, K, SLACK, THRESHOLD = 5, 64, 0.5, 85
 MAX_ROWS = 500_000
-#: Hashes of a room's block (two blocks meet in a room), and the most bits of a filter of ids.
-ROOM, BITS = 1 << 20, 1 << 26
+#: Hashes of a room's block (two blocks meet in a room), pairs of a room, and the most bits of a filter of ids.
+ROOM, PAIRS, BITS = 1 << 20, 1 << 15, 1 << 26
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -51,7 +51,7 @@ class Shingler:
         import xxhash
 
         self.width = width
-        self.word = BoundedCache(xxhash.xxh3_64_intdigest, 500_000).__getitem__
+        self.word = BoundedCache(xxhash.xxh3_64_intdigest, 1 << 17).__getitem__
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, ASCII space
@@ -76,7 +76,7 @@ def _sketches(width: int, k: int):
         import xxhash
 
         shingles = Shingler(width)
-        for batch in batches:
+        for batch in pieces(batches):
             n, key, sketch, ends = [], [], [], [0]
             for text in batch.column("text").to_pylist():
                 s = shingles(text)
@@ -140,7 +140,7 @@ def _sets(width: int, held):
         import xxhash
 
         shingles, marks = Shingler(width), held.value
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column("doc_id")
             may = marks.may_hold(ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
             sets = [shingles(t).tobytes() for t in batch.column("text").filter(pa.array(may)).to_pylist()]
@@ -171,7 +171,7 @@ def _meetings(threshold: int, k: int, slack: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         room, sets = None, {}
-        for batch in batches:
+        for batch in pieces(batches):
             links: tuple[list[int], list[int]] = [], []
             hashes = batch.column("hashes")
             for i, (here, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("room", "a", "b")), strict=True)):
@@ -234,7 +234,8 @@ def _lists(classes: DataFrame, k: int, slack: float, scratch: Scratch) -> DataFr
 def _verified(pairs: DataFrame, full: DataFrame, threshold: int, k: int, slack: float, scratch: Scratch, name: str) -> DataFrame:
     """Links among the distinct pairs (a, b) with their sizes na, nb and neighbourhood ``near``."""
     seats = pairs.select("near", F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("na").alias("n")), F.struct(F.col("b").alias("cid"), F.col("nb").alias("n")))).alias("x")).select("near", "x.*").distinct()
-    blocks = seats.groupBy("near").agg(F.ceil(F.sum("n") / ROOM).alias("blocks")).where("blocks > 1")
+    many = pairs.groupBy("near").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).alias("many"))
+    blocks = seats.groupBy("near").agg(F.ceil(F.sum("n") / ROOM).alias("large")).join(many, "near").select("near", F.greatest("large", "many").alias("blocks")).where("blocks > 1")
     split = pairs.join(small(scratch.write(blocks, name + "-blocks"), MAX_ROWS), "near", "left")
     x, y = (F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1))) for c in "ab")
     room = F.xxhash64("near", F.least(x, y), F.greatest(x, y))  # rooms that share a number are one larger room
@@ -320,7 +321,7 @@ def _keyed(width: int, name: str):
         import xxhash
 
         shingles = Shingler(width)
-        for batch in batches:
+        for batch in pieces(batches):
             sets = (shingles(t) for t in batch.column("text").to_pylist())
             keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, name])
