@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -74,11 +75,15 @@ class Edits(NamedTuple):
 
 
 OPEN, EXTEND, MISMATCH, SWAP = 3, 2, 6, 4
-_SEPARATORS = " -"
+
+
+def _apart(c: str) -> bool:
+    """White space, hyphens and punctuation of every kind part words alike."""
+    return c.isspace() or unicodedata.category(c)[0] == "P"
 
 
 def _same(x: str, y: str) -> bool:
-    return x == y or (x in _SEPARATORS and y in _SEPARATORS)
+    return x == y or (_apart(x) and _apart(y))
 
 
 def affine_gap(a: str, b: str) -> Edits:

@@ -26,9 +26,14 @@ def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), *(key or df.columns)))
 
 
+def drawn(seed: int, key: str) -> Column:
+    """A number in [0, 1) from a hash of the key that any engine can compute: the first 32 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
 def split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """``df`` with ``split``: parts by a hash of the key, the same on every run and machine."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
+    u = drawn(seed, key)
     out, upto = F.lit(list(shares)[-1]), 1.0
     for name, share in reversed(list(shares.items())):
         upto -= share
@@ -38,7 +43,7 @@ def split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 0) -> D
 
 def weighted_choice(key: str, cdf: list[float], labels: list[str], seed: int = 0) -> Column:
     """A label by a cumulative distribution, drawn by a hash of the key."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
+    u = drawn(seed, key)
     out = F.lit(labels[-1])
     for p, label in reversed(list(zip(cdf, labels, strict=True))):
         out = F.when(u < p, label).otherwise(out)

@@ -31,20 +31,23 @@ def addresses(spark, d):
     return table(spark, d, "orders").select(k.alias("id"), (k % 999 + 1).cast("string").alias("number"), pick(_BASES, 11).alias("base"), pick(_TYPES, 5).alias("abbr"), pick(_FULL, 5).alias("kind"))
 
 
-@query(f"WITH {_SYNTH} SELECT id, number || ' ' || base || ' ' || kind AS expansion FROM a")
+#: What a street type may stand for: all of its readings, with its own form where one of them isn't sure.
+_READINGS = "CASE WHEN abbr = 'St' THEN ['saint', 'st', 'street'] ELSE [kind] END"
+
+
+@query(f"WITH {_SYNTH} SELECT id, number || ' ' || base || ' ' || unnest({_READINGS}) AS expansion FROM a")
 def expand_mini(spark, d):
-    """The canonical expansion of each address; a street type with two readings has it among others."""
+    """Every expansion of each address."""
     a = addresses(spark, d).withColumn("raw", F.concat_ws(" ", "number", F.initcap("base"), "abbr"))
-    full = fn.spread(a).select("id", "number", "base", "kind", fn.expand_address("raw", Options(languages=("en",))).alias("e"))
-    want = F.concat_ws(" ", "number", "base", "kind")
-    return full.select("id", F.explode(F.filter("e", lambda x: x == want)).alias("expansion"))
+    return fn.spread(a).select("id", F.explode(fn.expand_address("raw", Options(languages=("en",)))).alias("expansion"))
 
 
 @query(f"WITH {_SYNTH} SELECT id, base AS root FROM a")
 def expand_root_mini(spark, d):
+    """Every root of each street name."""
     a = addresses(spark, d).withColumn("raw", F.concat_ws(" ", F.initcap("base"), "abbr"))
     o = Options(languages=("en",), components=lx.STREET)
-    return fn.spread(a).select("id", "base", fn.expand_address_root("raw", o).alias("e")).select("id", F.explode(F.filter("e", lambda x: x == F.col("base"))).alias("root"))
+    return fn.spread(a).select("id", F.explode(fn.expand_address_root("raw", o)).alias("root"))
 
 
 @query(f"""WITH {_SYNTH} SELECT id, unnest([number || ' ' || base || ' ' || x for x in CASE WHEN abbr = 'St' THEN ['street', 'saint'] ELSE [kind] END]) AS s FROM a""")
@@ -121,14 +124,15 @@ def blocking_pairs(spark, d):
 
 
 _GRAMS = """g AS (SELECT DISTINCT doc_id AS id, array_to_string(w[i : i + 2], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents))),
-f AS (SELECT gram FROM g GROUP BY gram HAVING count(*) BETWEEN 2 AND 20), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
-s AS (SELECT a.id AS id1, b.id AS id2, count(*) AS shared FROM g a JOIN f USING (gram) JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)"""
+k AS (SELECT id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS k FROM g GROUP BY id), c AS (SELECT k, min(id) AS id, any_value(n) AS n FROM k GROUP BY k),
+r AS (SELECT g.* FROM g JOIN c USING (id)), s AS (SELECT a.id AS id1, b.id AS id2, count(*) AS shared FROM r a JOIN r b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)"""
 
 
-@query(f"""WITH {_GRAMS} SELECT id1, id2, shared, round(j, 6) AS jaccard, CAST(CASE WHEN j >= 0.9 THEN 6 WHEN j >= 0.7 THEN 3 ELSE 0 END AS INTEGER) AS status
-FROM (SELECT id1, id2, shared, CAST(shared AS DOUBLE) / (x.n + y.n - shared) AS j FROM s JOIN n x ON x.id = id1 JOIN n y ON y.id = id2)""")
+@query(f"""WITH {_GRAMS} SELECT id1, id2, shared, round(j, 6) AS jaccard, CAST(CASE WHEN j >= 0.9 THEN 6 ELSE 3 END AS INTEGER) AS status
+FROM (SELECT id1, id2, shared, CAST(shared AS DOUBLE) / (x.n + y.n - shared) AS j FROM s JOIN c x ON x.id = id1 JOIN c y ON y.id = id2) WHERE j >= 0.7
+UNION ALL SELECT c.id, k.id, k.n, 1.0, 6 FROM c JOIN k USING (k) WHERE c.id <> k.id""")
 def near_dupe_status(spark, d):
-    out = resolve.near_duplicate_texts(table(spark, d, "documents"), "doc_id", "text", df_cap=20)  # as its SQL has it
+    out = resolve.near_duplicate_texts(table(spark, d, "documents"), "doc_id", "text")
     return out.select("id1", "id2", "shared", F.round("jaccard", 6).alias("jaccard"), "status")
 
 

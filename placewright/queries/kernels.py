@@ -9,7 +9,7 @@ from ..core import dupes, text
 from ..core.expand import Options
 from ..plans import gazetteer, resolve
 from . import query, table
-from .address import addresses
+from .address import _READINGS, _SYNTH, addresses
 
 def _raw(spark, d):
     """Addresses as people write them, one an order."""
@@ -30,12 +30,18 @@ def tokenize_pages(spark, d):
     return t.groupBy(F.col("t.type").alias("type")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_SYNTH}, w AS (SELECT id, number, CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END AS e, base, lower(abbr) AS abbr, length(number) + 1 AS o FROM a),
+p AS (SELECT *, o + e AS ob, o + e + length(base) + 1 AS oa, o + e + length(base) + length(abbr) + 2 AS oc, CAST(id % 9 AS VARCHAR) AS unit FROM w)
+SELECT id, number || ' ' || number || ' 0 50|' || CASE WHEN e > 0 THEN 'e e ' || o || ' 1|' ELSE '' END || base || ' ' || base || ' ' || ob || ' 1|' || abbr || ' ' || abbr || '. ' || oa || ' 2'
+|| CASE WHEN id % 4 = 0 THEN '|, , ' || oc || ' 103|apt apt ' || (oc + 2) || ' 1|' || unit || ' ' || unit || ' ' || (oc + 6) || ' 50' ELSE '' END AS tokens FROM p""")
 def normalized_tokens(spark, d):
-    return _raw(spark, d).select("id", fn.normalized_tokens("raw", text.STRING_DEFAULT, text.TOKEN_DEFAULT | text.K_SPLIT_ALPHA).alias("tokens"))
+    """Each token's form, text, offset and type."""
+    t = _raw(spark, d).select("id", fn.normalized_tokens("raw", text.STRING_DEFAULT, text.TOKEN_DEFAULT | text.K_SPLIT_ALPHA).alias("t"))
+    said = F.transform("t", lambda x: F.concat_ws(" ", x["normalized"], x["text"], x["offset"].cast("string"), x["type"].cast("string")))
+    return t.select("id", F.array_join(said, "|").alias("tokens"))
 
 
-@query()
+@query("SELECT doc_id, md5(trim(replace(replace(lower(strip_accents(replace(text, 'ß', 'ss'))), 'æ', 'ae'), 'œ', 'oe'))) AS digest FROM documents")
 def normalize_string(spark, d):
     return fn.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(fn.normalize_string("text")).alias("digest"))
 
@@ -45,7 +51,8 @@ def string_alternatives(spark, d):
     return table(spark, d, "benchmark").select("item_id", fn.string_alternatives("text", languages=("de", "fr")).alias("forms"))
 
 
-@query()
+@query("""WITH g AS (SELECT item_id, text, replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue') AS german FROM benchmark)
+SELECT item_id, strip_accents(replace(text, 'ß', 'ss')) AS ascii, strip_accents(replace(german, 'ß', 'ss')) AS german FROM g""")
 def transliterate(spark, d):
     return table(spark, d, "benchmark").select("item_id", fn.transliterate("text", "latin-ascii").alias("ascii"), fn.transliterate("text", "german-ascii").alias("german"))
 
@@ -55,7 +62,17 @@ def script_spans(spark, d):
     return table(spark, d, "benchmark").select("item_id", fn.script_spans("text").alias("spans"))
 
 
-@query()
+_SPELLED = """u AS (SELECT ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'] AS u,
+['ten', 'twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety'] AS t,
+['first', 'second', 'third', 'fourth', 'fifth', 'sixth', 'seventh', 'eighth', 'ninth', 'tenth', 'eleventh', 'twelfth', 'thirteenth', 'fourteenth', 'fifteenth', 'sixteenth', 'seventeenth', 'eighteenth', 'nineteenth'] AS o),
+low AS (SELECT CAST(k AS BIGINT) AS k, CASE WHEN k = 0 THEN '' WHEN k < 20 THEN u[k] WHEN k % 10 = 0 THEN t[k // 10] ELSE t[k // 10] || '-' || u[k % 10] END AS s,
+CASE WHEN k = 0 THEN '' WHEN k < 20 THEN o[k] WHEN k % 10 = 0 THEN left(t[k // 10], -1) || 'ieth' ELSE t[k // 10] || '-' || o[k % 10] END AS nth FROM u, (SELECT unnest(range(0, 100)) AS k)),
+mid AS (SELECT h * 100 + low.k AS k, trim(CASE WHEN h > 0 THEN u[h] || ' hundred ' ELSE '' END || s) AS s FROM u, low, (SELECT unnest(range(0, 10)) AS h))"""
+
+
+@query(f"""WITH {_SPELLED} SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 'zero' ELSE trim(CASE WHEN b.k > 0 THEN b.s || ' thousand ' ELSE '' END || m.s) END || ' west ' || low.nth || ' street' AS words,
+CAST(o_orderkey AS VARCHAR) || ' west ' || CAST(o_orderkey % 90 + 10 AS VARCHAR) || CASE WHEN (o_orderkey % 90 + 10) // 10 = 1 THEN 'th' ELSE CASE (o_orderkey % 90 + 10) % 10 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END END || ' street' AS digits
+FROM orders JOIN mid b ON b.k = o_orderkey // 1000 JOIN mid m ON m.k = o_orderkey % 1000 JOIN low ON low.k = o_orderkey % 90 + 10""")
 def numex_spellout(spark, d):
     """Every key spelled in words and read back as digits."""
     from ..core import generate
@@ -64,14 +81,19 @@ def numex_spellout(spark, d):
     return table(spark, d, "orders").select("o_orderkey", spelled.alias("words")).select("o_orderkey", "words", fn.replace_numex("words", "en").alias("digits"))
 
 
-@query()
+_UNIT = "CASE WHEN id % 4 = 0 THEN ' apartment ' || CAST(id % 9 AS VARCHAR) ELSE '' END"
+
+
+@query(f"""WITH {_SYNTH}, w AS (SELECT id, number, unnest(CASE WHEN id % 3 = 0 THEN ['e ', 'east '] ELSE [''] END) AS way, base, abbr, kind FROM a),
+e AS (SELECT id, number || ' ' || way || base || ' ' || unnest({_READINGS}) || {_UNIT} AS s FROM w) SELECT id, string_agg(s, '|' ORDER BY s) AS expansions FROM e GROUP BY id""")
 def expand_address(spark, d):
-    return _raw(spark, d).select("id", fn.expand_address("raw", Options(languages=("en",))).alias("expansions"))
+    """All expansions of each address, in order of code points."""
+    return _raw(spark, d).select("id", F.concat_ws("|", F.array_sort(fn.expand_address("raw", Options(languages=("en",))))).alias("expansions"))
 
 
-@query()
+@query(f"""WITH {_SYNTH} SELECT id, number || ' ' || base || CASE WHEN id % 4 = 0 THEN ' ' || CAST(id % 9 AS VARCHAR) ELSE '' END AS expansions FROM a""")
 def expand_address_root(spark, d):
-    return _raw(spark, d).select("id", fn.expand_address_root("raw", Options(languages=("en",))).alias("expansions"))
+    return _raw(spark, d).select("id", F.concat_ws("|", F.array_sort(fn.expand_address_root("raw", Options(languages=("en",))))).alias("expansions"))
 
 
 @query()

@@ -182,17 +182,17 @@ def most_common_first(spark, d):
     return ordering.most_common_first(table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")), "n", "p_name", 50)
 
 
-@query()
+@query("""WITH u AS (SELECT doc_id, CAST('0x' || substr(md5('0|' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM documents) SELECT doc_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'cv' ELSE 'test' END AS split FROM u""")
 def train_split(spark, d):
     return ordering.split(table(spark, d, "documents").select("doc_id"), "doc_id", {"train": 0.8, "cv": 0.1, "test": 0.1})
 
 
-@query()
+@query("SELECT doc_id FROM documents")
 def seeded_shuffle(spark, d):
     return ordering.shuffled(table(spark, d, "documents").select("doc_id"), 7, "doc_id")
 
 
-@query()
+@query("""WITH u AS (SELECT doc_id, CAST('0x' || substr(md5('0|' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM documents) SELECT doc_id, CASE WHEN u < 0.7 THEN 'en' WHEN u < 0.9 THEN 'fr' ELSE 'de' END AS lang FROM u""")
 def weighted_language(spark, d):
     return table(spark, d, "documents").select("doc_id", ordering.weighted_choice("doc_id", [0.7, 0.9, 1.0], ["en", "fr", "de"]).alias("lang"))
 
