@@ -96,9 +96,11 @@ _MID_BOTH = r"[.‘’․﹒＇．]"
 _D = r"[\p{Nd}]"
 _EXT = r"[_‿⁀⁔︳︴﹍﹎﹏＿]"
 _DASH1 = r"[\-֊־᐀᠆‐‑‒–−⸗⸚︲﹣－]"
-_WC = rf"(?:{_L}|[\p{{M}}\p{{Pc}}\p{{Sc}}\p{{Sk}}\p{{Sm}}\p{{So}}\p{{Nd}}])"
+_MARK = r"[\p{M}\p{Pc}\p{Sc}\p{Sk}\p{Sm}\p{So}\p{Nd}]"
+_WC = rf"(?:{_L}|{_MARK})"
 _NUM_OPEN = rf"(?:{_D}|{_L}|{_DASH1}|{_MID_BOTH}|')"
-_ANY = rf"(?:(?:{_WC}*{_L}+{_WC}*{_DASH1})*{_WC}*{_L}+{_WC}*)"
+#: Runs of word characters with a letter, each read in one way only: a long run costs no more than its length.
+_ANY = rf"(?:(?:{_MARK}*{_L}{_WC}*{_DASH1})*{_MARK}*{_L}{_WC}*)"
 _ABBR = rf"(?:{_WC}+\.)+{_WC}*"
 _WORD = (
     rf"(?:{_L}+(?:(?:{_MID_LETTER}|{_DASH1}|{_MID_BOTH}|'){_L}+)+|{_L}+(?:(?:{_MID_LETTER}|{_MID_BOTH}){_L}+')|(?:\p{{Hebrew}}+')+"
@@ -122,7 +124,7 @@ _RULES: list[tuple[int, regex.Pattern]] = [
         (T.ABBREVIATION, rf"(?:(?:{_ABBR}|{_ANY})-)+{_ABBR}|(?:{_ABBR}-)(?:(?:{_ABBR}|{_ANY})-)*(?:{_ABBR}|{_ANY})", 0),
         (T.ABBREVIATION, rf"{_WORD}\.", 0),
         (T.NUMERIC, rf"{_DASH1}?(?:[\p{{N}}]+(?:{_MID_NUM}|{_MID_BOTH}))*[\p{{Nd}}\p{{No}}--[²³¹¼-¾⁰-₉]]+", 0),
-        (T.NUMERIC, rf"(?:{_DASH1}|(?:(?:{_D}|{_L})+{_NUM_OPEN}*)*){_D}+(?:{_NUM_OPEN}*(?:{_D}|{_L})+)*", 0),
+        (T.NUMERIC, rf"(?:{_DASH1}|(?:(?:{_D}|{_L}){_NUM_OPEN}*)?){_D}+(?:{_NUM_OPEN}*(?:{_D}|{_L}))?", 0),
         (T.WORD, rf"'?{_LATINISH}+'{_LATINISH}+'?", 0),
         (T.HANGUL_SYLLABLE, r"[ᄀ-ᅟꥠ-ꥼ]*[가-힣][ᆨ-ᇿퟋ-ퟻ]*|[ᄀ-ᅟꥠ-ꥼ]+[ᅠ-ᆧힰ-ퟆ]*[ᆨ-ᇿퟋ-ퟻ]*|\p{Hangul}", 0),
         (T.IDEOGRAPHIC_CHAR, rf"[{_IDEO}]", 0),
@@ -142,25 +144,30 @@ _SINGLE = {
 #: The bulk of any text: a word, number, period-ended word, space, line feed or comma that stands before
 #: white space or the end, where no longer token can begin. Groups are numbered by kind.
 _LATIN1 = "A-Za-zÀ-ÖØ-öø-ÿ"
-_FAST = re.compile(rf"([{_LATIN1}]+)(?=[ \n,;!?)]|\Z)|([ ]+)(?=[{_LATIN1}0-9,;]|\Z)|([{_LATIN1}]+\.)(?=[ \n]|\Z)|([0-9]+)(?=[ ]|\Z|,[ ])|(,)(?=[ \n]|\Z)|(\n)|(;)(?=[ \n]|\Z)").match
+_FAST = re.compile(rf"([{_LATIN1}]+)(?=[ \n,;!?)]|\Z)|([ ]+)(?=[{_LATIN1}0-9,;]|\Z)|([{_LATIN1}]+\.)(?=[ \n]|\Z)|([0-9]+)(?=[ ]|\Z|,[ ])|(,)(?=[ \n]|\Z)|(\n)|(;)(?=[ \n]|\Z)")
+_FAST_RUN, _FAST = _FAST.finditer, _FAST.match
 _FAST_KIND = tuple(map(int, (0, T.WORD, T.WHITESPACE, T.ABBREVIATION, T.NUMERIC, T.COMMA, T.NEWLINE, T.SEMICOLON)))
+_UNSEEN = frozenset((int(T.INVALID_CHAR),))
+_UNSEEN_OR_WHITE = _UNSEEN | {int(T.WHITESPACE), int(T.NEWLINE)}
 _PHONE_LIKE = regex.compile(r"\+?1?[\-. ]?\(?[2-9][0-8][0-9]\)?[\-. ]?[2-9][0-9]{2}[\-. ]?[0-9]{4}")
 
 
-def scan(text: str) -> list[Token]:
-    """Every token, white space and invalid characters included; ends at a NUL."""
-    end = text.find("\0")
-    if end >= 0:
-        text = text[:end]
-    out: list[Token] = []
+def cuts(text: str) -> tuple[list[int], list[int]]:
+    """(bounds, kinds) of every token, white space and invalid characters included: token i goes from
+    bound i to the next. ``text`` holds no NUL."""
+    bounds, kinds = [0], []
     at, n = 0, len(text)
     while at < n:
-        m = _FAST(text, at)
-        if m is not None:
-            kind = _FAST_KIND[m.lastindex]
-            if kind != T.NUMERIC or not _PHONE_LIKE.match(text, at):
-                out.append(Token(m[0], at, kind))
+        if _FAST(text, at) is not None:
+            before = at
+            for m in _FAST_RUN(text, at):
+                kind = _FAST_KIND[m.lastindex]
+                if m.start() != at or (kind == T.NUMERIC and _PHONE_LIKE.match(text, at)):
+                    break
                 at = m.end()
+                bounds.append(at)
+                kinds.append(kind)
+            if at > before:
                 continue
         best, stop = 0, at
         for kind, rule in _RULES:
@@ -174,16 +181,39 @@ def scan(text: str) -> list[Token]:
             if found is None:
                 found = T.PUNCT_OPEN if regex.match(r"\p{Ps}", c) else T.PUNCT_CLOSE if regex.match(r"\p{Pe}", c) else T.OPEN_QUOTE if regex.match(r"\p{Pi}", c) else T.CLOSE_QUOTE if regex.match(r"\p{Pf}", c) else T.OTHER
             best = int(found)
-        out.append(Token(text[at:stop], at, best))
         at = stop
-    return out
+        bounds.append(at)
+        kinds.append(best)
+    return bounds, kinds
+
+
+def _before_nul(text: str) -> str:
+    end = text.find("\0")
+    return text if end < 0 else text[:end]
+
+
+def scan(text: str) -> list[Token]:
+    """Every token, white space and invalid characters included; ends at a NUL."""
+    text = _before_nul(text)
+    bounds, kinds = cuts(text)
+    return [Token(text[a:b], a, k) for a, b, k in zip(bounds, bounds[1:], kinds)]
 
 
 def tokenize(text: str | None, whitespace: bool = False) -> list[Token]:
     """Tokens without invalid characters, and without white space unless asked for."""
+    return [Token(*t) for t in zip(*columns(text, whitespace))]
+
+
+def columns(text: str | None, whitespace: bool = False) -> tuple[list[str], list[int], list[int]]:
+    """``tokenize`` as columns: texts, offsets and types."""
     if not text:
-        return []
-    return [t for t in scan(text) if t.type != T.INVALID_CHAR and (whitespace or t.type not in (T.WHITESPACE, T.NEWLINE))]
+        return [], [], []
+    text = _before_nul(text)
+    bounds, kinds = cuts(text)
+    left_out = _UNSEEN if whitespace else _UNSEEN_OR_WHITE
+    keep = [i for i, k in enumerate(kinds) if k not in left_out]
+    offsets = [bounds[i] for i in keep]
+    return [text[a : bounds[i + 1]] for a, i in zip(offsets, keep)], offsets, [kinds[i] for i in keep]
 
 
 def remove_parens(text: str) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ __all__ = [
 ]
 
 TOKEN = "array<struct<text:string,offset:int,type:int>>"
-_MEMO = 100_000
+#: Values a worker remembers, and the length from which texts are not, as they hardly repeat: both bound its bytes.
+_MEMO, _LONG = 100_000, 1_000
 #: Sources below this size a core have too few parts to keep all cores busy.
 SPREAD_BYTES = 64 << 20
 
@@ -38,6 +40,9 @@ def scalar(fn: Callable, returns: str, *columns) -> Column:
             args = part if isinstance(part, tuple) else (part,)
             out = []
             for values in zip(*(_plain(a) for a in args), strict=True):
+                if any(isinstance(v, (str, list, dict)) and len(v) >= _LONG for v in values):
+                    out.append(fn(*values))
+                    continue
                 key = _hashable(values)
                 if key not in memo:
                     if len(memo) >= _MEMO:
@@ -76,7 +81,23 @@ def _tokens(ts) -> list[dict]:
 
 
 def tokenize(c, whitespace: bool = False) -> Column:
-    return scalar(lambda s: None if s is None else _tokens(lexer.tokenize(s, whitespace)), TOKEN, c)
+    """Tokens of each text, built as Arrow columns, few texts at a time; nulls stay null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, max(1, len(texts)), 256):
+            flat, ends, none = ([], [], []), [0], []
+            for s in texts.slice(at, 256).to_pylist():
+                for into, column in zip(flat, lexer.columns(s, whitespace)):
+                    into += column
+                ends.append(len(flat[0]))
+                none.append(s is None)
+            tokens = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(flat, (pa.string(), pa.int32(), pa.int32()))], names=["text", "offset", "type"])
+            parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens, mask=pa.array(none, pa.bool_())))
+        return pa.concat_arrays(parts)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, TOKEN)(F.col(c) if isinstance(c, str) else c)
 
 
 def normalized_tokens(c, string_options: int = text.STRING_DEFAULT, token_options: int = text.TOKEN_DEFAULT, whitespace: bool = False, languages: Sequence[str] = ()) -> Column:
