@@ -280,3 +280,14 @@ def test_generators():
     assert generate.sub_building("unit", 3) == generate.sub_building("unit", 3) and generate.abbreviate("North Elm Street", "en", 1, 0.0) == "North Elm Street"
     assert abs(generate.zipf_cdf(9)[-1] - 1) < 1e-12 and generate.draw([0.5, 1.0], 0.7) == 1
     assert generate.chain_match("Joe's Diner", {"joe s diner": "joes"}) == "joes" and generate.chain_match("Joe's Diner Two", {"joe s diner": "joes"}) is None
+
+
+def test_long_runs_of_letters_and_digits_are_read_once():
+    import time
+
+    from placewright.core import lexer
+
+    begin = time.time()
+    for run in ("abc" * 10_000, "1a" * 10_000):
+        assert "".join(t.text for t in lexer.scan(run + "日")) == run + "日"
+    assert time.time() - begin < 5
