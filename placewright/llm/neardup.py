@@ -10,9 +10,13 @@
 3. Lists give overlaps. First, each list's smallest member meets the others (a star), which links
    most groups of copies; then only members that are still in another component than the list's
    main one meet the list. Pairs whose sizes alone rule out the threshold are left out at once.
+   Where more than ``CROWDED`` members are, as in a large group of copies that are not all alike, their pairs grow
+   with the square of the group, so they are never made as rows: the members meet as a crowd.
 4. Pairs meet in rooms: the members of a neighbourhood, in blocks of ``ROOM`` values by a hash, and in more
    blocks where their pairs are many, so a set moves once per room and not once per pair. A room streams its pairs past its sets: the
-   estimate from the union's sketch filters them, the full sets verify them.
+   estimate from the union's sketch filters them, the full sets verify them. A crowd's room takes all
+   pairs of two blocks by matrix products over the values its full sets share, without an estimate, and gives
+   one link for each two components that it joins.
 5. Links become components by alternating large-star and small-star rounds, all as tables.
 
 Sketch overlaps below ``SLACK`` = 0.5 of ``K`` = 64 have a probability under 1e-11 for a pair at
@@ -41,6 +45,8 @@ WIDTH, K, SLACK, THRESHOLD = 5, 64, 0.5, 85
 MAX_ROWS = 500_000
 #: Hashes of a room's block (two blocks meet in a room), pairs of a room, and the most bits of a filter of ids.
 ROOM, PAIRS, BITS = 1 << 20, 1 << 15, 1 << 26
+#: Members of a list outside its main component beyond which it meets as a crowd; hashes and sets of a crowd's block; cells of a matrix.
+CROWDED, CROWD, SETS, CELLS = 16, 1 << 21, 1 << 13, 1 << 23
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -187,6 +193,86 @@ def _meetings(threshold: int, k: int, slack: float):
     return run
 
 
+def _joined(far: np.ndarray, root: np.ndarray, sets: list[np.ndarray], threshold: int, tile: int = 256) -> list[tuple[int, int]]:
+    """Positions of linked sets, one link for each two components (by ``root``) that links join; between
+    the sides of ``far`` if there are two, else among all."""
+    n = np.array([len(s) for s in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, starts, crossed = np.repeat(np.arange(len(sets)), n), np.concatenate(([0], np.cumsum(n))), bool(far.any())
+    live = np.ones(len(sets), bool)
+    while True:  # a set has no link if too few of its values are held by others
+        mine, theirs = (np.bincount(column[(live & (far == side))[owner]], minlength=len(values)) for side in (False, True))
+        shared = np.where(far[owner], mine[column] > 0, theirs[column] > 0) if crossed else mine[column] > 1
+        before, live = live, live & (100 * np.bincount(owner, shared, len(sets)) >= threshold * n)
+        if 8 * (before.sum() - live.sum()) <= live.sum():
+            break
+
+    def cells(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = [column[starts[i] : starts[i + 1]] for i in of]
+        return np.repeat(np.arange(len(of)), n[of]), np.concatenate(each)
+
+    def dense(rows: np.ndarray, places: np.ndarray, count: int, begin: int, end: int) -> np.ndarray:
+        out = np.zeros((count, end - begin), np.float32)
+        here = (places >= begin) & (places < end)
+        out[rows[here], places[here] - begin] = 1
+        return out
+
+    rising = np.argsort(n, kind="stable")
+    left = rising[live[rising] & ~far[rising]]
+    right = rising[live[rising] & far[rising]] if crossed else left
+    label, place, links = np.unique(root, return_inverse=True)[1], np.full(len(values), -1), []
+    for at in range(0, len(left), tile):
+        some = left[at : at + tile]
+        begin = max(int(np.searchsorted(100 * n[right], threshold * n[some[0]])), 0 if crossed else at)
+        others = right[begin : int(np.searchsorted(threshold * n[right], 100 * n[some[-1]], "right"))]
+        if (label[some] == label[some[0]]).all():
+            others = others[label[others] != label[some[0]]]
+        if not len(others):
+            continue
+        (rows, mine), (cols, theirs) = cells(some), cells(others)
+        used = np.unique(mine)
+        place[used] = np.arange(len(used))
+        mine, theirs = place[mine], place[theirs]
+        place[used] = -1
+        both, step = np.zeros((len(some), len(others))), max(256, CELLS // len(others))
+        for c in range(0, len(used), step):
+            end = min(c + step, len(used))
+            both += dense(rows, mine, len(some), c, end) @ dense(cols, theirs, len(others), c, end).T
+        alike = 100 * both >= threshold * (n[some][:, None] + n[others] - both)
+        i, j = np.nonzero(alike & (label[some][:, None] != label[others]))
+        a, b = some[i], others[j]
+        first = np.unique(np.minimum(label[a], label[b]) * len(sets) + np.maximum(label[a], label[b]), return_index=True)[1]
+        for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+            if label[x] != label[y]:
+                links.append((x, y))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def _crowd_links(threshold: int):
+    """The links among rows sorted by room (crowd, one, two), each with a set."""
+
+    def links(rows: list[tuple[bool, int, int, np.ndarray]]) -> pa.RecordBatch:
+        far, cid, root, sets = zip(*rows, strict=True)
+        found = _joined(np.array(far), np.array(root), list(sets), threshold)
+        return pa.RecordBatch.from_arrays([pa.array([cid[x[side]] for x in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room, rows = None, []
+        for batch in pieces(batches):
+            hashes = batch.column("hashes")
+            for i, (crowd, one, two, far, cid, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("crowd", "one", "two", "far", "cid", "root")), strict=True)):
+                if (crowd, one, two) != room:
+                    if rows:
+                        yield links(rows)
+                    room, rows = (crowd, one, two), []
+                rows.append((far, cid, root, np.frombuffer(hashes[i].as_buffer(), np.uint64).copy()))
+        if rows:
+            yield links(rows)
+
+    return run
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node of each linked node's component; ``links``: (a, b).
 
@@ -248,6 +334,26 @@ def _verified(pairs: DataFrame, full: DataFrame, threshold: int, k: int, slack:
     return links
 
 
+def _crowds(lists: DataFrame, full: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """Links among all members of ``lists`` (value, cid, n, root), as far as they join components.
+
+    Lists with one smallest member are one crowd, as are those whose smallest members meet in such a list, since
+    the many lists of a group of copies have nearly the same members.
+    """
+    low = lists.groupBy("value").agg(F.min("cid").alias("low"))
+    held = scratch.write(lists.join(low, "value").select("low", "cid", "n", "root").distinct(), "crowded")
+    name = held.groupBy(F.col("cid").alias("low")).agg(F.min("low").alias("crowd"))
+    seats = scratch.write(held.join(name, "low").select("crowd", "cid", "n", "root").distinct(), "seats")
+    blocks = seats.groupBy("crowd").agg(F.ceil(F.greatest(F.sum("n") / CROWD, F.count("*") / SETS)).alias("blocks"))
+    seats_ = seats.join(blocks, "crowd").withColumn("x", F.pmod(F.xxhash64("cid"), "blocks"))
+    rooms = seats_.select("crowd", "cid", "root", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("y"))
+    rooms = scratch.write(rooms.select("crowd", F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two"), (F.col("x") > F.col("y")).alias("far"), "cid", "root"), "crowd-rooms")
+    sets = full.join(small(rooms, MAX_ROWS), "cid").repartition("crowd", "one", "two").sortWithinPartitions("crowd", "one", "two")
+    links = scratch.write(sets.mapInArrow(_crowd_links(threshold), "a long, b long"), "crowd")
+    scratch.tidy(held, seats, rooms)
+    return links
+
+
 def linked(documents: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, k: int = K, slack: float = SLACK) -> DataFrame:
     """Per document row: doc_id, n (set size), key (set digest, null if empty), component_id."""
     return _linked(documents, width, threshold, k, slack, False)
@@ -286,10 +392,12 @@ def _linked(documents: DataFrame, width: int, threshold: int, k: int, slack: flo
     labelled = lists.join(rooted, lists["cid"] == rooted.node, "left").join(near, "cid").select("value", "cid", "n", "near", F.coalesce("root", "cid").alias("root"))
     labelled = scratch.write(labelled, "labelled")
     split = labelled.groupBy("value", "root").agg(F.count("*").alias("m"))
-    main = split.groupBy("value").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("value", "main")
+    main = split.groupBy("value").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("others")).where("others > 0")
     open_ = scratch.write(labelled.join(main, "value"), "open")
-    one = open_.where("root <> main").select("value", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("near").alias("hx"))
-    two = open_.select("value", F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("near").alias("hy"), (F.col("root") == F.col("main")).alias("in_main"))
+    crowd = _crowds(open_.where(F.col("others") > CROWDED), full, threshold, scratch)
+    sparse = open_.where(F.col("others") <= CROWDED)
+    one = sparse.where("root <> main").select("value", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("near").alias("hx"))
+    two = sparse.select("value", F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("near").alias("hy"), (F.col("root") == F.col("main")).alias("in_main"))
     swap = F.col("x") > F.col("y")
     meet = one.join(two, "value").where("rx <> ry and (in_main or x < y)").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"),
@@ -299,7 +407,7 @@ def _linked(documents: DataFrame, width: int, threshold: int, k: int, slack: flo
     scratch.tidy(lists, heads, near, asked, labelled, open_)
     rest = _verified(rest, full, threshold, k, slack, scratch, "rest")
     scratch.tidy(full)
-    nodes = components(star.unionByName(rest), scratch)
+    nodes = components(star.unionByName(rest).unionByName(crowd), scratch)
 
     members = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
     ids = scratch.write(brief.join(members, brief.cid == members.node).select("key", "root", "doc_id"), "ids")

@@ -111,6 +111,61 @@ def test_rooms_of_any_size_give_the_same_links(spark, monkeypatch):
     assert sorted(map(repr, neardup.linked(documents(spark, docs)).select("doc_id", "component_id").collect())) == want
 
 
+def test_a_large_group_of_unequal_copies_is_not_met_pairwise(spark, monkeypatch):
+    """Copies with few and many changes share lists, yet most pairs are no links: rows of pairs must not grow with their square."""
+    rng = random.Random(4)
+    base = [f"v{i}" for i in range(150)]
+    docs = []
+    for i in range(320):
+        copy = list(docs[rng.randrange(i)][1].split()) if i % 4 == 1 else list(base)
+        for _ in range(rng.randint(1, 3) if i % 2 else rng.randint(4, 9)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(copy), "s"))
+    sets = [{hash(tuple(t.split()[k : k + 5])) for k in range(146)} for _, t, _ in docs]
+    root = list(range(len(docs)))
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    assert 20 < len(set(root)) < 300
+    rows, write = {}, neardup.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "write", counted)
+    for sizes in ({}, {"CROWD": 1 << 13, "CELLS": 1 << 12, "SETS": 100}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(neardup, name, value)
+        found = {r.doc_id: r.component_id for r in neardup.linked(documents(spark, docs)).collect()}
+        assert [found[i] for i in range(len(docs))] == root
+        assert rows["meet"] + rows.get("seats", 0) < 10 * len(docs)
+
+
+def test_links_of_a_crowd_equal_brute_force():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 400, 60) for _ in range(6)]
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 4000, 60), base[i % 6])[: rng.integers(3, 61)]).astype(np.uint64) for i in range(300)]
+    alike = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+
+    def parts(pairs, labels):
+        labels = list(labels)
+        for i, j in pairs:
+            labels = [labels[i] if x == labels[j] else x for x in labels]
+        return sorted(sorted(i for i, x in enumerate(labels) if x == k) for k in set(labels))
+
+    true = [(i, j) for i, j in itertools.combinations(range(300), 2) if alike(sets[i], sets[j])]
+    for far in (np.zeros(300, bool), rng.random(300) < 0.4):
+        some = [(i, j) for i, j in true if not far.any() or far[i] != far[j]]
+        root = np.arange(300)
+        root[[5, 17, 40]] = 5
+        got = neardup._joined(far, root, sets, 80, tile=32)
+        assert set(map(tuple, map(sorted, got))) <= set(some) and len(some) > 30
+        assert parts(got, root) == parts(some, root)
+
+
 def test_id_filter_has_no_false_negatives():
     ids = np.random.default_rng(1).integers(-(2**62), 2**62, 3000)
     marks = neardup.Marks(1 << 16)
