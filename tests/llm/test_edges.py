@@ -144,6 +144,32 @@ def test_a_large_group_of_unequal_copies_is_not_met_pairwise(spark, monkeypatch)
         assert rows["meet"] + rows.get("seats", 0) < 10 * len(docs)
 
 
+def test_the_pipelines_stage_makes_few_pairs_of_a_large_group(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(150)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < p else w for w in base) for p in [0.01, 0.03, 0.05] * 70]
+    sets = [{hash(tuple(t.split()[k : k + 5])) for k in range(146)} for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    rows, write = {}, neardup.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name in ("meet", "seats"):
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "write", counted)
+    kept = corpus_pipeline.near_duplicate_stage(spark, documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), "")
+    assert 20 < len(set(root)) < 200 and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert rows["meet"] + rows.get("seats", 0) < 10 * len(texts)
+
+
 def test_links_of_a_crowd_equal_brute_force():
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 400, 60) for _ in range(6)]
