@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ TOKENIZER = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH = 2048
 BUFFER = 1 << 21
+#: Bytes of text whose pieces are held at once, the mark at which texts are cut, and (by RE2) texts that can't be:
+#: those with white space other than space and line feed, with repeated white space that forms tokens, or with the mark.
+SLICE = 1 << 22
+CUT = "\x01"
+TANGLED = r"[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x01]|  | \n|\n |\n\n\n|\n\n\z"
 SCHEMA = "shard int, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, offsets array<long>"
 
 
@@ -43,74 +49,61 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Tokenizer:
-    """Ids of texts as little-endian 16-bit bytes.
+    """Ids of texts as little-endian 16-bit numbers.
 
-    A token never reaches over a single line feed, nor from a letter to the space after it, so words
-    can be memoised: those that begin a line, and those after a space. New words are encoded many
-    at a time. Texts with repeated white space, which does form tokens, are encoded whole.
+    A token never reaches over a single line feed, nor from a letter to the space after it, so texts are
+    cut before spaces and around line feeds. The distinct pieces of a call are encoded together, each
+    once, and Arrow takes their ids to the pieces' places, so a word costs no Python object where it is
+    repeated. Nothing is kept between calls: a vocabulary that grows with the input costs no memory.
+    Texts with other or repeated white space, which does form tokens, are encoded whole.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, memo: int = 300_000):
-        import re
-
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import tiktoken
 
         if max(ranks.values()) >= 0xFFFF:  # the end token has the next id
             raise ValueError("16-bit ids are too small for this vocabulary and its end token")
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.heads, self.tails, self.limit = {"": b""}, {}, memo
-        self.rare = re.compile(r"[^\S \n]").search
-        self.runs = re.compile(r"\s[ ]|[ ]\s|\s\s\s|\s\s\Z").search
-        self.plain = re.compile(r"\S*\Z").match
         self.feed = self.whole("\n")
 
-    def tangled(self, text: str) -> bool:
-        """Whether white space is repeated in a way that makes tokens."""
-        if self.rare(text):
-            return bool(self.runs(text))
-        return "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), "<u2")
 
-    def learn(self, memo: dict[str, bytes], new: set[str], lead: str) -> None:
-        plain = [w for w in new if self.plain(w)]
-        if len(self.feed) == 2 and plain:
-            ids = np.array(self.encoding.encode_ordinary("\n".join([lead + w for w in plain]) if lead else "\n".join(plain)), "<u2")
-            cuts = (2 * np.flatnonzero(ids == np.frombuffer(self.feed, "<u2")[0])).tolist()
+    def learn(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct pieces, as bytes."""
+        blank = pc.is_in(words, pa.array(["", " ", "\n"], words.type))
+        plain = words.filter(pc.invert(blank))
+        if len(plain) and len(self.feed) == 1:
+            ids = self.whole(pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), pa.scalar("\n", plain.type))[0].as_py())
+            cuts = np.flatnonzero(ids == self.feed[0])
             if len(cuts) == len(plain) - 1:
-                data = ids.tobytes()
-                memo.update(zip(plain, [data[i:j] for i, j in zip([0, *[c + 2 for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
-        for w in new:
-            if w not in memo:
-                memo[w] = self.whole(lead + w)
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; one call's words are held at once, whatever the memo's limit."""
-        if len(self.heads) + len(self.tails) > self.limit:
-            self.heads, self.tails = {"": b""}, {}
-        heads: set[str] = set()
-        tails: set[str] = set()
-        cut: list[list[tuple[str, list[str]]] | None] = []
-        for text in texts:
-            if not text or self.tangled(text):
-                cut.append(None)
-                continue
-            lines = []
-            for line in text.split("\n"):
-                head, *tail = line.split(" ")
-                lines.append((head, tail))
-                heads.add(head)
-                tails.update(tail)
-            cut.append(lines)
-        self.learn(self.heads, heads.difference(self.heads), "")
-        self.learn(self.tails, tails.difference(self.tails), " ")
-        head_of, tail_of = self.heads.__getitem__, self.tails.__getitem__
-        return [
-            (self.whole(text) if text else b"") if lines is None
-            else self.feed.join([head_of(head) + b"".join(map(tail_of, tail)) for head, tail in lines])
-            for text, lines in zip(texts, cut, strict=True)
-        ]
+                ends = 2 * (np.append(cuts, len(ids)) - np.arange(len(plain)))
+                known = pa.Array.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(np.append(0, ends).astype("<i8")), pa.py_buffer(np.delete(ids, cuts))])
+                few = pa.array([self.whole(w).tobytes() for w in words.filter(blank).to_pylist()], known.type)
+                order = np.argsort(np.argsort(blank.to_numpy(zero_copy_only=False), kind="stable"))
+                return pa.concat_arrays([known, few]).take(pa.array(order))
+        return pa.array([self.whole(w).tobytes() for w in words.to_pylist()], pa.large_binary())
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        hard = pc.match_substring_regex(texts, TANGLED)
+        cut = pc.replace_substring(pc.replace_substring(texts.filter(pc.invert(hard)), " ", CUT + " "), "\n", CUT + "\n" + CUT)
+        lines = pc.split_pattern(cut, CUT)
+        words = lines.flatten().dictionary_encode()
+        _, at, data = self.learn(words.dictionary).take(words.indices).buffers()
+        at = np.frombuffer(at, "<i8")[lines.offsets.to_numpy()] // 2
+        ids, easy = np.frombuffer(data or b"", "<u2"), iter(range(len(lines)))
+        return [self.whole(text.as_py()) if h else ids[at[i := next(easy)] : at[i + 1]] for text, h in zip(texts, hard.to_pylist(), strict=True)]
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with at most ``most`` bytes of text, or one row."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 class Capacities:
@@ -199,13 +192,13 @@ def packed(documents: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZE
                 count += len(some)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-        for batch in pieces(batches, 64):
-            for d, b in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text").to_pylist()), strict=True):
-                if b:
-                    docs.append((d, np.frombuffer(b, "<u2")))
-                    tokens += len(b) // 2
-            if tokens >= buffer:
-                yield from flush()
+        for batch in (some for rows in pieces(batches, 1 << 14) for some in slices(rows)):
+            for d, ids in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text")), strict=True):
+                if len(ids):
+                    docs.append((d, ids))
+                    tokens += len(ids)
+                if tokens >= buffer:
+                    yield from flush()
         if docs:
             yield from flush()
 

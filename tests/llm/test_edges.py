@@ -11,6 +11,7 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -393,6 +394,36 @@ def test_a_word_of_any_length():
     assert 0 < long < len(word)
 
 
+def test_ids_by_pieces_equal_those_of_whole_texts():
+    import tiktoken
+
+    ranks = packing.load_ranks(packing.TOKENIZER)
+    plain, own = tiktoken.Encoding("plain", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={}), packing.Tokenizer(ranks)
+    signs = ["a", "the", " the", " ", "\n", "\n\n", "  ", ".", "'s", "'ll", " 's", "é日", "１２", "12", "🙂", "\u0301", "\t", "\r", "\x00", "\x01", "\x1c", "\x85", "\u00a0", "\u1680", "\u200a", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000"]
+    rng = random.Random(10)
+    for few in (8, 16, len(signs)):
+        texts = ["".join(rng.choices(signs[:few], k=rng.randint(0, 30))) for _ in range(1500)] + [None, "", " ", "\n", "\n\n", "a\n", "a ", "x" * 5000]
+        rows = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+        parts = list(packing.slices(rows, 2000))
+        assert sum(p.num_rows for p in parts) == len(texts) and max(p.num_rows for p in parts) > 1 and parts[-1].column("text").to_pylist() == ["x" * 5000]
+        assert [x.tolist() for p in parts for x in own.batch(p.column("text"))] == [plain.encode_ordinary(t or "") for t in texts]
+    for none in ([], [None], ["", None]):
+        assert [x.tolist() for x in own.batch(pa.array(none, pa.string()))] == [[] for _ in none]
+
+
+def test_an_open_vocabulary_costs_no_memory():
+    """New words in every text: a memo of words would grow with them, and cost more than it saves."""
+    own, rng = packing.Tokenizer(packing.load_ranks(packing.TOKENIZER)), random.Random(11)
+    own.batch(pa.array(["warm up"]))
+    tracemalloc.start()
+    for _ in range(4):
+        words = [" ".join("".join(rng.choices("aeiourstln", k=11)) for _ in range(60)) for _ in range(600)]
+        own.batch(pa.array(words))
+    del words
+    assert tracemalloc.get_traced_memory()[0] < 1_000_000
+    tracemalloc.stop()
+
+
 def test_the_end_token_needs_an_id():
     ranks = {bytes([i]): i for i in range(256)}
     packing.Tokenizer(ranks | {b"ab": 0xFFFE})
