@@ -108,17 +108,3 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def ascii_lower(text):
     """Lower-case A-Z only, all other code points as they are."""
     return F.translate(text, UPPER, LOWER)
-
-
-class BoundedCache(dict):
-    """A per-worker memo that is emptied when full, so memory stays bounded on any vocabulary."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value

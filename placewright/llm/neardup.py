@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import BoundedCache, Scratch, pieces, small, unused
+from .common import Scratch, pieces, small, unused
 
 WIDTH, K, SLACK, THRESHOLD = 5, 64, 0.5, 85
 MAX_ROWS = 500_000
@@ -51,13 +51,13 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 
 class Shingler:
-    """Hashed shingle sets of texts; one per worker task, with a bounded memo of word hashes."""
+    """Hashed shingle sets of texts. A word's hash costs less than to look it up in a memo of many words."""
 
     def __init__(self, width: int = WIDTH):
         import xxhash
 
         self.width = width
-        self.word = BoundedCache(xxhash.xxh3_64_intdigest, 1 << 17).__getitem__
+        self.word = xxhash.xxh3_64_intdigest
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, ASCII space
