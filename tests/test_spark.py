@@ -203,3 +203,11 @@ def test_streams(spark, tmp_path):
     q.stop()
     found = [r.key for r in spark.sql("SELECT key FROM seen").collect()]
     assert len(found) == len(set(found)) <= 3
+
+
+def test_spread_of_a_join_uses_all_cores(spark):
+    """A join's size is a guess, and its few bytes come in few parts: the kernel behind it ran in one task."""
+    a, b = spark.range(1000).withColumn("v", F.lit("x")), spark.range(1000).withColumn("w", F.lit("y"))
+    both = fn.spread(a.join(b.hint("merge"), "id"), "id")
+    assert both.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and both.count() == 1000
+    assert fn.spread(a.join(b.hint("merge"), "id").groupBy("id").count()).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
