@@ -211,3 +211,13 @@ def test_spread_of_a_join_uses_all_cores(spark):
     both = fn.spread(a.join(b.hint("merge"), "id"), "id")
     assert both.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and both.count() == 1000
     assert fn.spread(a.join(b.hint("merge"), "id").groupBy("id").count()).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_blocking_pairs_are_made_last(spark):
+    """No aggregate or exchange over the pairs, which may be thousands for a row; carried columns go with their ids."""
+    data = [(i, [f"k{i % 3}", f"m{i % 5}", None, "all"], i * 10) for i in range(40)] + [(7, ["own"], 70), (41, ["own"], 410)]
+    got = joins.blocking_pairs(spark.createDataFrame(data, "id int, keys array<string>, v int"), "keys", "id", block=6, carry=("v",))
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert (plan.nodeName(), plan.children().head().nodeName()) == ("Project", "Join")
+    want = [(a, b, a * 10, b * 10) for a in range(40) for b in range(a + 1, 40)] + [(7, 41, 70, 410)]
+    assert rows(got) == sorted(want)
