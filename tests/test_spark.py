@@ -221,3 +221,14 @@ def test_blocking_pairs_are_made_last(spark):
     assert (plan.nodeName(), plan.children().head().nodeName()) == ("Project", "Join")
     want = [(a, b, a * 10, b * 10) for a in range(40) for b in range(a + 1, 40)] + [(7, 41, 70, 410)]
     assert rows(got) == sorted(want)
+
+
+def test_group_edges_equal_brute_force(spark):
+    """Every pair of a place with its edge, in blocks; the pairs are never moved, so nothing stands over their join."""
+    left, right = [(a, a % 3 if a else None) for a in range(30)], [(b, b % 4 if b != 5 else None) for b in range(100, 130)]
+    edges = [(a, b) for a in range(30) for b in range(100, 130) if (a * b) % 7 == 1] * 2 + [(None, 101), (3, None)]
+    got = joins.group_edges(spark.createDataFrame(left, "a int, place int"), spark.createDataFrame(right, "b int, place int"), spark.createDataFrame(edges, "a int, b int"), block=4)
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert (plan.nodeName(), plan.children().head().nodeName()) == ("Project", "Join")
+    known = set(edges)
+    assert rows(got) == sorted((a, b, (a, b) in known) for a, p in left for b, q in right if p is not None and p == q)
