@@ -232,3 +232,15 @@ def test_group_edges_equal_brute_force(spark):
     assert (plan.nodeName(), plan.children().head().nodeName()) == ("Project", "Join")
     known = set(edges)
     assert rows(got) == sorted((a, b, (a, b) in known) for a, p in left for b, q in right if p is not None and p == q)
+
+
+def test_places_meet_with_their_expansions(spark):
+    """Expansions go with the keys: the join that makes the pairs is the last one, none looks up a pair's rows."""
+    from placewright.core.dupes import HashOptions
+
+    labels = ["house", "house_number", "road", "city"]
+    places = spark.createDataFrame([(1, labels, ["Oak Cafe", "8", "Elm St", "dayton"]), (2, labels, ["Oak Café", "8", "Elm Street", "dayton"]), (3, labels, ["Inn", "9", "Elm St", "dayton"]), (4, labels[1:], ["8", "Elm Ave", "dayton"])], "id int, labels array<string>, values array<string>")
+    got = resolve.resolve_places(places, "id", HashOptions(address_only_keys=True))
+    assert rows(got) == [(1, 2, 9, 9), (1, 4, -1, 3), (2, 4, -1, 3)]
+    last = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+    assert "(key#" in last
