@@ -244,3 +244,19 @@ def test_places_meet_with_their_expansions(spark):
     assert rows(got) == [(1, 2, 9, 9), (1, 4, -1, 3), (2, 4, -1, 3)]
     last = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
     assert "(key#" in last
+
+
+@pytest.mark.parametrize("name", ["set_jaccard_pairs", "multiset_jaccard_pairs"])
+def test_jaccard_of_parts_of_unlike_brand_and_size(spark, tmp_path, name):
+    """Names meet whatever brand and size their parts have; equal names are members of a class."""
+    from placewright.queries import QUERIES
+
+    parts = [(1, "Red rod", "A", 1), (2, "red bolt", "B", 2), (3, "rod red", "C", 3), (4, "old anvil", "A", 1), (5, "red red rod", "A", 1), (6, None, "A", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    repeated = [(1, 5, 1.0), (2, 4, 0.0)] if name == "set_jaccard_pairs" else [(1, 5, 0.666667), (2, 4, 0.0), (2, 5, 0.25), (4, 5, 0.0)]
+    assert rows(QUERIES[name](spark, str(tmp_path))) == sorted([(1, 2, 0.333333), (1, 3, 1.0), (1, 4, 0.0), *repeated])
+
+
+def test_all_pairs_equal_brute_force(spark):
+    got = joins.all_pairs(spark.createDataFrame([(i, f"v{i}") for i in range(50)], "id int, v string"), "id", block=7)
+    assert rows(got.select("id_1", "v_1", "id_2", "v_2")) == sorted((i, f"v{i}", j, f"v{j}") for i in range(50) for j in range(i + 1, 50))
