@@ -291,3 +291,11 @@ def test_long_runs_of_letters_and_digits_are_read_once():
     for run in ("abc" * 10_000, "1a" * 10_000):
         assert "".join(t.text for t in lexer.scan(run + "日")) == run + "日"
     assert time.time() - begin < 5
+
+
+@pytest.mark.parametrize("n", [999_999, 1_000_000, 1_000_001, 1_000_100, 1_001_000, 1_010_001, 1_100_000, 8_999_999, 20_300_400, 1_001_001_001])
+def test_numbers_from_a_million_are_read_back(n):
+    from placewright.core import generate, numex
+
+    assert numex.replace_numeric_expressions(f"{generate.spell_cardinal(n)} west street", "en") == f"{n} west street"
+    assert numex.replace_numeric_expressions("one million thousand", "en") == "1000000 1000"
