@@ -14,13 +14,17 @@ def nearest(points: DataFrame, sites: DataFrame, n: int = 1, precision: int = 5)
     """(id, site, km, rank): the n nearest sites in a point's cell and the eight around it.
 
     ``points``: (id, lat, lon); ``sites``: (site, lat, lon). Sites stay in one cell each; points are
-    sent to nine.
+    sent to nine. Points at one spot have the same sites, which are looked for once; of sites at one spot only
+    the first n can be among the nearest n.
     """
-    home = sites.select("site", F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.element_at(geohash_cells("lat", "lon", precision), 1).alias("cell"))
-    ask = points.select("id", "lat", "lon", F.explode(geohash_cells("lat", "lon", precision)).alias("cell"))
-    km = ask.join(home, "cell").select("id", "site", haversine("lat", "lon", "slat", "slon").alias("km"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("km", "site"))
-    return km.withColumn("rank", rank).where(F.col("rank") <= n)
+    def ranked(df: DataFrame, by: list[str], *order: str) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+    first = ranked(sites.select("site", F.col("lat").alias("slat"), F.col("lon").alias("slon")), ["slat", "slon"], "site").drop("rank")
+    home = first.withColumn("cell", F.element_at(geohash_cells("slat", "slon", precision), 1))
+    ask = points.select("lat", "lon").distinct().select("lat", "lon", F.explode(geohash_cells("lat", "lon", precision)).alias("cell"))
+    km = ask.join(home, "cell").select("lat", "lon", "site", haversine("lat", "lon", "slat", "slon").alias("km"))
+    return points.select("id", "lat", "lon").join(ranked(km, ["lat", "lon"], "km", "site"), ["lat", "lon"]).select("id", "site", "km", "rank")
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, precision: int = 4, first: bool = False) -> DataFrame:

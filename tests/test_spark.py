@@ -260,3 +260,12 @@ def test_jaccard_of_parts_of_unlike_brand_and_size(spark, tmp_path, name):
 def test_all_pairs_equal_brute_force(spark):
     got = joins.all_pairs(spark.createDataFrame([(i, f"v{i}") for i in range(50)], "id int, v string"), "id", block=7)
     assert rows(got.select("id_1", "v_1", "id_2", "v_2")) == sorted((i, f"v{i}", j, f"v{j}") for i in range(50) for j in range(i + 1, 50))
+
+
+def test_nearest_at_shared_spots(spark):
+    """Equal spots aren't multiplied: of 200 points and 100 sites at one spot no 20,000 pairs are ranked."""
+    points, sites = [(i, 10.5, 20.25) for i in range(200)] + [(900, 10.52, 20.25), (901, None, 1.0)], [(s, 10.51, 20.26) for s in range(100)] + [(500, 10.5, 20.25), (501, 10.53, 20.25)]
+    got = spatial.nearest(spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame(sites, "site int, lat double, lon double"), 3, 5)
+    found = [(r.id, r["rank"], r.site) for r in got.orderBy("id", "rank").collect()]
+    assert found == [(i, k, s) for i in range(200) for k, s in ((1, 500), (2, 0), (3, 1))] + [(900, 1, 501), (900, 2, 0), (900, 3, 1)]
+    assert "windowspecdefinition(lat" in got._jdf.queryExecution().optimizedPlan().toString()
