@@ -269,3 +269,17 @@ def test_nearest_at_shared_spots(spark):
     found = [(r.id, r["rank"], r.site) for r in got.orderBy("id", "rank").collect()]
     assert found == [(i, k, s) for i in range(200) for k, s in ((1, 500), (2, 0), (3, 1))] + [(900, 1, 501), (900, 2, 0), (900, 3, 1)]
     assert "windowspecdefinition(lat" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_language_is_scored_where_its_features_are_counted(spark):
+    """The same probabilities as the fitted stages give, but a text's features never leave the worker."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = spark.createDataFrame([("en", f"{i} elm street north") for i in range(12)] + [("fr", f"{i} rue du port nord") for i in range(12)] + [("fr", None), ("en", "")], "lang string, a string")
+    model = training.train_language(df.where("a <> ''"), "a", "lang")
+    staged = df.withColumn("features_in", fn.language_features("a"))
+    want = model.stages[2].transform(model.stages[1].transform(staged)).select(vector_to_array("probability").alias("p")).collect()
+    scored = training.classify_language(model, df, "a")
+    assert "array<string>" not in str(scored.schema) and "language_features" not in scored._jdf.queryExecution().optimizedPlan().toString() and "features_in" not in scored._jdf.queryExecution().analyzed().toString()
+    for got, w in zip(scored.collect(), want):
+        assert got.languages[0].prob == pytest.approx(max(w.p), abs=1e-9)
