@@ -283,3 +283,15 @@ def test_language_is_scored_where_its_features_are_counted(spark):
     assert "array<string>" not in str(scored.schema) and "language_features" not in scored._jdf.queryExecution().optimizedPlan().toString() and "features_in" not in scored._jdf.queryExecution().analyzed().toString()
     for got, w in zip(scored.collect(), want):
         assert got.languages[0].prob == pytest.approx(max(w.p), abs=1e-9)
+
+
+def test_equal_addresses_are_tagged_once(spark):
+    """Counts and parses of repeated addresses, null ones too; one row a distinct address goes to the kernel."""
+    tokens = [("4", "house_number"), ("elm", "road"), ("troy", "city")]
+    rows_ = [(i, [(f"{i % 3}", "house_number"), *tokens[1:]], f"{i % 3} elm troy") for i in range(60)] + [(60, None, None)]
+    df = spark.createDataFrame(rows_, "id int, tokens array<struct<token:string,label:string>>, raw string")
+    model = training.train_tagger(df.where("tokens IS NOT NULL"), shards=1, epochs=3)
+    counts = training.prediction_counts(df, model)
+    assert rows(counts.select("predicted", "truth", "n")) == [("city", "city", 60), ("house_number", "house_number", 60), ("road", "road", 60)]
+    got = {r.id: [tuple(x) for x in r.parsed] for r in training.parsed_addresses(df, "raw", model).collect()}
+    assert got == {i: [("house_number", f"{i % 3}"), ("road", "elm"), ("city", "troy")] for i in range(60)} | {60: []}
