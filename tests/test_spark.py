@@ -295,3 +295,14 @@ def test_equal_addresses_are_tagged_once(spark):
     assert rows(counts.select("predicted", "truth", "n")) == [("city", "city", 60), ("house_number", "house_number", 60), ("road", "road", 60)]
     got = {r.id: [tuple(x) for x in r.parsed] for r in training.parsed_addresses(df, "raw", model).collect()}
     assert got == {i: [("house_number", f"{i % 3}"), ("road", "elm"), ("city", "troy")] for i in range(60)} | {60: []}
+
+
+def test_frequent_ngrams_equal_frequent_phrases(spark):
+    """The same counts from whole arrays, and no token is joined with another."""
+    docs = [(i, [f"w{(i * j) % 4}" for j in range(i % 9)]) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(docs, "d int, t array<string>")
+    got = aggregates.frequent_ngrams(df, "t", 3)
+    want = aggregates.frequent_phrases(df.select("d", F.posexplode("t").alias("pos", "token")), "d", 3)
+    assert rows(got) == rows(want.select("phrase", "n", "k")) and len(rows(got)) > 20
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and plan.count("Join LeftSemi") == 1
