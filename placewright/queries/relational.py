@@ -164,8 +164,9 @@ def sparse_sums(spark, d):
 w AS (SELECT lang AS label, feature, CAST(sum(value) AS DOUBLE) AS weight FROM f JOIN documents USING (doc_id) GROUP BY ALL)
 SELECT doc_id, label, CAST(sum(value * weight) AS BIGINT) AS score FROM f JOIN w USING (feature) GROUP BY ALL""")
 def feature_scores(spark, d):
-    f = _counts(spark, d).select("doc_id", F.col("term").alias("feature"), F.col("tf").alias("value"))
-    w = f.join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("label")), "doc_id").groupBy("label", "feature").agg(F.sum("value").cast("double").alias("weight"))
+    words = fn.spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", F.col("lang").alias("label"), F.explode(fn.words("text")).alias("feature"))
+    w = words.groupBy("label", "feature").agg(F.count("*").cast("double").alias("weight"))
+    f = words.select("doc_id", "feature", F.lit(1).alias("value"))
     return joins.feature_scores(f, w, "doc_id").select("doc_id", "label", F.col("score").cast("long").alias("score"))
 
 

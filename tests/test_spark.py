@@ -306,3 +306,17 @@ def test_frequent_ngrams_equal_frequent_phrases(spark):
     assert rows(got) == rows(want.select("phrase", "n", "k")) and len(rows(got)) > 20
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan and plan.count("Join LeftSemi") == 1
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_feature_scores_equal_brute_force(spark, most):
+    """The same sums whether the weights go to the features or both are moved; a feature may have several rows."""
+    f = [(i, f"f{(i * j) % 7}", j % 3) for i in range(30) for j in range(9)]
+    w = [(f"l{k % 2}" if k % 3 else None, f"f{k % 6}", float(k)) for k in range(12)]
+    got = joins.feature_scores(spark.createDataFrame(f, "d int, feature string, value int"), spark.createDataFrame(w, "label string, feature string, weight double"), "d", most)
+    want = {}
+    for d, a, v in f:
+        for label, b, x in w:
+            if a == b:
+                want[d, label] = want.get((d, label), 0) + v * x
+    assert {(r.d, r.label): r.score for r in got.collect()} == want
