@@ -299,3 +299,18 @@ def test_numbers_from_a_million_are_read_back(n):
 
     assert numex.replace_numeric_expressions(f"{generate.spell_cardinal(n)} west street", "en") == f"{n} west street"
     assert numex.replace_numeric_expressions("one million thousand", "en") == "1000000 1000"
+
+
+def test_runs_of_words_and_signs_are_cut_as_by_the_rules(monkeypatch):
+    """The ways round the rules for the bulk of a text cut it as the rules alone do."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    parts = ["a", "bé", "oak", "St.", " ", "  ", ",", ";", "5", "555-234-5678", "(", ")", "\n", "!", "'", "-", "x.y.", "千", ".", "a@b.co", "http://q.r", "1,2", "\t", "K", "%", "%%", "|", "*", "&", "#", "$", "=", "+", "_", "?", "@", "œ", "word%", "a%@b.co", "one two ", "two three four, "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(3000)]
+    fast = [lexer.cuts(s) for s in texts]
+    never = re.compile(r"(?!)").match
+    monkeypatch.setattr(lexer, "_FAST", never)
+    monkeypatch.setattr(lexer, "_WORD_RUN", never)
+    assert fast == [lexer.cuts(s) for s in texts]

@@ -320,3 +320,15 @@ def test_feature_scores_equal_brute_force(spark, most):
             if a == b:
                 want[d, label] = want.get((d, label), 0) + v * x
     assert {(r.d, r.label): r.score for r in got.collect()} == want
+
+
+def test_token_totals_equal_counted_tokens(spark):
+    """Sums by type are made in the worker and equal those of the tokens themselves."""
+    texts = ["8 W 41st St., Apt 5\n(rear) — a@b.com", "", None, "x\0y z", "\x07", "Grüße 12,5 千 www", " ", "né ๑ 'tis 555-234-5678"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    for whitespace in (False, True):
+        t = df.select("i", F.explode(fn.tokenize("s", whitespace)).alias("t"))
+        want = t.groupBy("i", F.col("t.type").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("t.text")).alias("chars"))
+        got = df.select("i", F.explode(fn.token_totals("s", whitespace)).alias("t")).select("i", "t.*")
+        assert rows(got) == rows(want)
+    assert [r.t for r in df.orderBy("i").select(fn.token_totals("s").alias("t")).collect()][1:3] == [[], None]
