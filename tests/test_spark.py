@@ -332,3 +332,14 @@ def test_token_totals_equal_counted_tokens(spark):
         got = df.select("i", F.explode(fn.token_totals("s", whitespace)).alias("t")).select("i", "t.*")
         assert rows(got) == rows(want)
     assert [r.t for r in df.orderBy("i").select(fn.token_totals("s").alias("t")).collect()][1:3] == [[], None]
+
+
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_tfidf_top_equals_ranked_weights(spark, most):
+    """The same terms however many of them get their frequency where they are, equal weights by term, zeros too."""
+    data = [(d, f"t{k}", 1 + d * k % 3) for d in range(1, 25) for k in range(1, 12) if d % k == 0]
+    counts = spark.createDataFrame(data, "d int, term string, tf long")
+    got = aggregates.tfidf_top(counts, "d", 24, 3, most=most)
+    want = ordering.top_per_group(aggregates.tfidf(counts, "d", 24), ["d"], [F.desc(F.round("weight", 9)), F.col("term")], 3)
+    digits = lambda df: rows(df.select("d", "term", "rank", F.round("weight", 9)))
+    assert digits(got) == digits(want) and len(digits(got)) > 40
